@@ -38,10 +38,8 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
         encoder = rank_encoder(path, split)
         for batch in batches:
             for row, end, body, offsets in text_slices(batch.column(1)):
-                data = body.tobytes()
-                ids = encoder.encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                sizes = np.array([len(x) for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(sizes // 4), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                ids, at = encoder.encode(body, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(np.diff(at)), binaries(ids, at).cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -55,7 +53,7 @@ def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
         table, at = token_bytes(path)
         size = np.diff(at)
         for batch in batches:
-            for row, end, body, offsets in text_slices(batch.column(2), 1 << 21):
+            for row, end, body, offsets in text_slices(batch.column(2)):
                 ids = body.view("<u4").astype(np.int64)
                 got = table[ragged(at[ids], size[ids])]
                 total = np.concatenate(([0], np.cumsum(size[ids])))

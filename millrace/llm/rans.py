@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import raw, scratch, source, stored, text_slices
+from millrace.llm.shared import binaries, raw, scratch, source, stored, text_slices
 from millrace.llm.vocab import word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -158,15 +158,17 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, id
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
-    last = struct.pack("<H", end_id)
-
     def run(batches):
         encoder = word_encoder(vocabulary, "<u2")
         for batch in batches:
             for row, end, body, offsets in text_slices(batch.column(1)):
-                data = body.tobytes()
-                ids = encoder.encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([x + last for x in ids], pa.binary())], ["doc_id", "ids"])
+                ids, at = encoder.encode(body, offsets)
+                at = at + np.arange(len(at))
+                ended = np.full(at[-1], end_id, "<u2")
+                body_of = np.ones(at[-1], bool)
+                body_of[at[1:] - 1] = False
+                ended[body_of] = ids
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), binaries(ended, at).cast(pa.binary())], ["doc_id", "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, ids binary")
@@ -250,10 +252,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     found = blocks.select("file_no", "first", "docs", "block").mapInArrow(run, "file_no long, doc_id long, at long, n_tokens long, ids binary")
-    # a row for each file: the sum of the files before it
+    # a row for each file: the sum of the files before it. The writer makes as many files as shuffle partitions, so broadcasting them is bounded
     sums = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     base = sums.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base"))
-    return found.join(base, "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return found.join(F.broadcast(base), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
