@@ -14,7 +14,6 @@ Rows are kept one for one, other columns are dropped by :func:`score`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,11 +141,13 @@ def keep(docs: DataFrame, weights: np.ndarray, least: float = 0.7, text_col: str
     """The documents, with all their columns, that score ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(shared.value, pa.Array.from_pandas(texts, pa.string())))
+    text = docs.columns.index(text_col)
 
-    return docs.filter(rate(F.col(text_col).cast("string")) >= least)
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(shared.value, batch.column(text).cast(pa.string())) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(column: str, parts: int):
