@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are handled at once; a longer single document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93

@@ -15,7 +15,7 @@ import numpy as np
 from millrace.llm.shared import LOWER, NON_SPACE, ragged, word_hashes, words
 
 #: Slots of a worker's table of units; when it is half full, it starts anew.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Longer units are encoded each time.
 UNIT_BYTES = 64
 
