@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import mix, run_hashes, source, text_slices, word_hashes
+from millrace.llm.shared import mix, run_hashes, source, text_slices, tuned, word_hashes
 
 BITS = 18
 #: Labelled rows that the classifier learns from, about; no more than a tenth above.
 SAMPLE = 6000
 EPOCHS = 4
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 # 0 white space, 1 letters, 2 digits, 3 other
 _CLASS = np.full(256, 3, np.uint8)
@@ -128,7 +128,7 @@ def scores(weights: np.ndarray, column: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = tuned(docs).sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
@@ -139,7 +139,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 def keep(docs: DataFrame, weights: np.ndarray, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that score ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = tuned(docs).sparkSession.sparkContext.broadcast(weights)
 
     text = docs.columns.index(text_col)
 

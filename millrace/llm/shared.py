@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that are handled at once; a longer single document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
+
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
@@ -35,6 +38,14 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 # ---------------------------------------------------------------- shared storage
+def tuned(df: DataFrame) -> DataFrame:
+    """The same DataFrame, after a bound on its session's Arrow batches by bytes: rows can hold very long texts, and tasks of an executor share its memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -200,4 +211,4 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def source(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Columns of a table of the input folder; the scan reads no others."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    return tuned(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns))
