@@ -1 +1,6 @@
+"""Functions on byte chunks, by name. Importing this package registers all of them."""
 
+from millrace.functions import blockwise, ciphers, codecs, compression, formats, hashes, kdf, misc, patterns, strings  # noqa: F401
+from millrace.functions.registry import UNITS, Unit, unit
+
+__all__ = ["UNITS", "Unit", "unit"]
