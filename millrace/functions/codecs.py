@@ -32,7 +32,7 @@ def hex_(data):
 
 
 hex_.reverse(lambda data: data.hex().upper().encode())
-hex_.column_back(lambda c: F.encode(F.hex(c), F.lit("UTF-8")))
+hex_.column_back(lambda c: F.encode(F.hex(c), "UTF-8"))
 
 
 @hex_.column
@@ -57,7 +57,7 @@ def b64(data, urlsafe=False):
 
 
 b64.reverse(lambda data, urlsafe=False: b64lib.urlsafe_b64encode(data) if urlsafe else b64lib.b64encode(data))
-b64.column_back(lambda c, urlsafe=False: F.encode(F.translate(F.regexp_replace(F.base64(c), r"[\r\n]+", ""), "+/" if urlsafe else "", "-_" if urlsafe else ""), F.lit("UTF-8")))
+b64.column_back(lambda c, urlsafe=False: F.encode(F.translate(F.regexp_replace(F.base64(c), r"[\r\n]+", ""), "+/" if urlsafe else "", "-_" if urlsafe else ""), "UTF-8"))
 b64.check(lambda data: len(data) >= 4 and bool(re.fullmatch(rb"[\sA-Za-z0-9+/_-]+={0,2}\s*", data)))
 
 

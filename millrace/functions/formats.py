@@ -1155,4 +1155,4 @@ def _(c, fmt=(), all=False, one=False, raw=False):
     """One field that is named, without variables."""
     if len(fmt) != 1 or not one or not fmt[0].isidentifier():
         return None
-    return F.encode(F.get_json_object(latin(c), f"$.{fmt[0]}"), F.lit("UTF-8"))
+    return F.encode(F.get_json_object(latin(c), f"$.{fmt[0]}"), "UTF-8")

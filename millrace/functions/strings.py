@@ -16,11 +16,11 @@ _LATIN = "ISO-8859-1"
 
 def latin(c):
     """A binary column as text of one character for each byte."""
-    return F.decode(c, F.lit(_LATIN))
+    return F.decode(c, _LATIN)
 
 
 def unlatin(c):
-    return F.encode(c, F.lit(_LATIN))
+    return F.encode(c, _LATIN)
 
 
 def literal(data: bytes):
