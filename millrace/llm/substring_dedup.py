@@ -51,7 +51,7 @@ def _anchors(g: np.ndarray, grams: int) -> np.ndarray:
 
 
 def outlines(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, digest (of all words), anchors (64-bit hashes): a row for each document."""
+    """doc_id, tag (of the text), n_words, digest (of all words), anchors (64-bit hashes): a row for each document."""
     half = window // 2
 
     def run(batches):
@@ -65,21 +65,23 @@ def outlines(docs: DataFrame, window: int) -> DataFrame:
                     own = g[a : max(a, b - half + 1)]
                     anchors.append(np.unique(own[_anchors(own, window - half + 1)]).astype("<u8").tobytes() if b - a >= window else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(np.diff(first)), pa.array(digests, pa.binary()), pa.array(anchors, pa.binary())], ["doc_id", "n_words", "digest", "anchors"]
+                    [batch.column(0).slice(row, end - row), batch.column(2).slice(row, end - row), pa.array(np.diff(first)), pa.array(digests, pa.binary()), pa.array(anchors, pa.binary())],
+                    ["doc_id", "tag", "n_words", "digest", "anchors"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, digest binary, anchors binary")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "doc_id long, tag int, n_words long, digest binary, anchors binary")
 
 
 def _exploded(batches):
-    """doc_id, anchor: from doc_id, anchors."""
+    """doc_id, tag, anchor: from doc_id, tag, anchors."""
     for batch in batches:
-        body, at = raw(batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(longs(batch.column(0)), np.diff(at) // 8)), pa.array(body.view("<i8"))], ["doc_id", "anchor"])
+        body, at = raw(batch.column(2))
+        size = np.diff(at) // 8
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(longs(batch.column(0)), size)), pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(body.view("<i8"))], ["doc_id", "tag", "anchor"])
 
 
 def _regions(docs: DataFrame, window: int) -> DataFrame:
-    """w (hash of a window), doc_id, at (word where it starts): of windows whose anchor other documents share. Takes doc_id, text, anchors (shared ones, 64-bit)."""
+    """w (hash of a window), doc_id, tag, at (word where it starts): of windows whose anchor other documents share. Takes doc_id, text, anchors (shared ones, 64-bit), tag."""
     half = window // 2
     grams = window - half + 1
 
@@ -87,11 +89,11 @@ def _regions(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             shared, shared_at = raw(batch.column(2))
             shared = shared.view("<u8")
-            ids = longs(batch.column(0))
+            ids, tags = longs(batch.column(0)), batch.column(3).to_numpy()
             for row, end, body, offsets in text_slices(batch.column(1)):
                 _, _, first, h, g = _runs(body, offsets, half)
                 whole = run_hashes(h, window)
-                hashes, owners, places = [], [], []
+                hashes, owners, places, marks = [], [], [], []
                 for i in range(end - row):
                     a, b = first[i], first[i + 1]
                     if b - a < window:
@@ -103,10 +105,12 @@ def _regions(docs: DataFrame, window: int) -> DataFrame:
                     hashes.append(whole[a + starts])
                     places.append(starts)
                     owners.append(np.full(len(starts), ids[row + i]))
+                    marks.append(np.full(len(starts), tags[row + i]))
                 if hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view("<i8")), pa.array(np.concatenate(owners), pa.int64()), pa.array(np.concatenate(places).astype(np.int32))], ["w", "doc_id", "at"])
+                    columns = [np.concatenate(hashes).view("<i8"), np.concatenate(owners), np.concatenate(marks), np.concatenate(places).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w", "doc_id", "tag", "at"])
 
-    return docs.mapInArrow(run, "w long, doc_id long, at int")
+    return docs.mapInArrow(run, "w long, doc_id long, tag int, at int")
 
 
 def factors(n: int, earlier: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -122,30 +126,33 @@ def factors(n: int, earlier: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def find(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, copy (of an earlier document, word for word), earlier (starts of windows, 32-bit): a row for each document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    # the tag tells rows of one doc_id apart
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("tag"))
     outline = stored(outlines(texts, window), "outlines")
     able = outline.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    row = ["doc_id", "tag"]
     least = stored(able.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most"), "copies")
-    copies = able.select("doc_id", "digest").join(least, "digest").filter("doc_id <> least").select("doc_id").distinct()
+    copies = able.select(*row, "digest").join(least, "digest").filter("doc_id <> least").select(*row).distinct()
     copies = stored(copies, "copies")
-    held = able.join(copies, "doc_id", "left_anti").select("doc_id", "anchors").mapInArrow(_exploded, "doc_id long, anchor long")
+    held = able.join(copies, row, "left_anti").select(*row, "anchors").mapInArrow(_exploded, "doc_id long, tag int, anchor long")
     held = stored(held, "anchors")
     common = held.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("anchor")
-    joined = held.join(stored(common, "common"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    packed = joined.mapInArrow(_packed, "doc_id long, anchors binary")
-    spots = stored(_regions(texts.join(stored(packed, "shared"), "doc_id").select("doc_id", "text", "anchors"), window), "windows")
+    joined = held.join(stored(common, "common"), "anchor").groupBy(*row).agg(F.collect_list("anchor").alias("anchors"))
+    packed = joined.mapInArrow(_packed, "doc_id long, tag int, anchors binary")
+    spots = stored(_regions(texts.join(stored(packed, "shared"), row).select("doc_id", "text", "anchors", "tag"), window), "windows")
     first = spots.groupBy("w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("w", "a")
-    late = spots.join(stored(first, "first"), "w").filter("doc_id > a").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    marks = late.select("doc_id", "starts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    return texts.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
+    late = spots.join(stored(first, "first"), "w").filter("doc_id > a").groupBy(*row).agg(F.collect_set("at").alias("starts"))
+    marks = late.select(*row, "starts", F.lit(False).alias("copy")).unionByName(copies.select(*row, F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    return texts.join(marks, row, "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
 
 
 def _packed(batches):
     for batch in batches:
-        lists = batch.column(1)
+        lists = batch.column(2)
         at = lists.offsets.to_numpy().astype(np.int64)
         values = longs(lists.values)[at[0] : at[-1]] if len(lists) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), binaries(values.astype("<i8"), at - at[0]).cast(pa.binary())], ["doc_id", "anchors"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binaries(values.astype("<i8"), at - at[0]).cast(pa.binary())], ["doc_id", "tag", "anchors"])
 
 
 def remove(found: DataFrame, window: int = WINDOW) -> DataFrame:
