@@ -2,12 +2,13 @@
 
 A document's set of word shingles is XOR-hashed into a bit sketch: each shingle flips one bit, so sketches differ in at most as many bits as the sets
 in shingles. Sets are banded by size. In a band, two sets that reach the similarity differ in at most d shingles; their sketches have m > d blocks, so
-at least m - d blocks agree. Blocks are put in one fixed order, the fullest first, and each set is filed under its first d + 1: then two
-such sets meet under at least one block (the pigeonhole, with empty blocks left out as long as others suffice).
+at least m - d blocks hold the same shingles. Blocks are put in one order that their contents fix, those with most rare shingles first, and each set is filed under its
+first d + 1: then two such sets meet under at least one block (the pigeonhole). Which shingles are common is learnt from a bounded sample of documents; it
+changes only how many sets meet in vain.
 
 Meeting sets become candidate links to the least document filed there, first within a batch and then within a bucket of keys, so that a key that a third of all
 documents share costs a row a batch and makes no pairs of all. A candidate is dropped if a sketch of the whole set already shows too many differences, and the rest are
-verified exactly on the texts. Where the documents under a key do not end in one component, all of them from different components are compared too, so no link that matters
+verified exactly on the texts. Where the documents under a key do not end in one component, those from different components are compared by sketch too, and verified, so no link that matters
 to a component is lost.
 
 Texts without words have no shingles and no links. A null doc_id has no links, and its own component is null. Rows of one doc_id are one document that has the links of each. Other columns are not read.
@@ -24,12 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, raw, run_hashes, source, stored, text_slices, word_hashes, words
+from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, raw, run_hashes, source, stored, text_slices, tuned, word_hashes, words
 
 #: Bits of the sketch of a whole set.
 SKETCH_BITS = 2048
-#: Keys in a bucket, about.
-BUCKET_KEYS = 1 << 20
+#: Keys in a bucket, about, and bits of a key beside its bucket: so few keys of a bucket agree by chance, however many buckets there are.
+BUCKET_KEYS, KEY_BITS = 1 << 20, 40
+#: Documents from which common shingles are learnt, about, and how many of the commonest count as such at most.
+SAMPLE, COMMON = 5000, 1 << 17
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_IDS = 1 << 20
+#: Turns in which documents are compared with their nearest under so many of their keys, about, before all that are still apart are.
+NEAREST_TURNS, KEYS_ASKED = 3, 3
+#: Bytes of sketches that are compared at once.
+COMPARE_BYTES = 1 << 25
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -79,17 +88,19 @@ class Rule:
         return sizes * (self.den - self.num) // (self.den + self.num)
 
 
-def block_keys(s: np.ndarray, band: int, d: int, blocks: int) -> np.ndarray:
-    """The keys of the first d + 1 blocks of a set's sketch of 64-bit blocks."""
+def block_keys(s: np.ndarray, rare: np.ndarray, band: int, d: int, blocks: int) -> np.ndarray:
+    """The keys of the first d + 1 blocks of a set's sketch. ``rare`` tells which of the sorted hashes are rare.
+
+    A block has a bit for each of 2 ** 64 hashes, of which few are set; it is kept as the exclusive or of its shingles' random words.
+    """
     u = np.uint64
     at = ((s >> u(32)) * u(blocks)) >> u(32)
     cut = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    value = np.bitwise_xor.reduceat(u(1) << (s & u(63)), cut)
-    at = at[cut]
-    at, value = at[value != 0], value[value != 0]
+    value, weight = np.bitwise_xor.reduceat(mix(s), cut), np.add.reduceat(rare, cut)
+    at, count = at[cut], np.diff(np.append(cut, len(s)))
     salt = u((band * 0x9E3779B97F4A7C15 + 0x1234567) & ((1 << 64) - 1))
     keys = mix(value ^ mix(at + salt))
-    order = np.lexsort((keys, -np.bitwise_count(value).astype(np.int8)))[: d + 1]
+    order = np.lexsort((keys, -(weight * 4096 + count)))[: d + 1]
     if len(order) == d + 1:
         return keys[order]
     rest = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at)
@@ -97,27 +108,44 @@ def block_keys(s: np.ndarray, band: int, d: int, blocks: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, n_keys, digest (of the set), sketch: a row for each document."""
+    """doc_id, n, n_keys, digest (of the set), sketch, sample (the set, of a bounded sample of documents): a row for each document."""
+    share = int(min(1.0, SAMPLE / max(docs.count(), 1)) * (1 << 30))
+    docs = docs.withColumn("sampled", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
     def run(batches):
         edges = rule.bands()
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch.column(1), rule.k):
+            sampled = batch.column(2).to_pylist()
+            for i, s in enumerate(shingle_sets(batch.column(1), rule.k)):
                 n_keys = sum(d + 1 for _, d, _ in rule.instances(len(s), edges)) if len(s) else 0
                 bits = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                rows.append((len(s), n_keys, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.packbits(bits.astype(bool)).tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n", "n_keys", "digest", "sketch"])
+                rows.append((len(s), n_keys, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.packbits(bits.astype(bool)).tobytes(), s.tobytes() if sampled[i] else b""))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n", "n_keys", "digest", "sketch", "sample"])
+
+    return docs.select("doc_id", "text", "sampled").mapInArrow(run, "doc_id long, n long, n_keys long, digest binary, sketch binary, sample binary")
+
+
+def common_shingles(known: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that several documents of the sample hold, the ``COMMON`` most frequent at most."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(raw(batch.column(0))[0].view("<i8"))], ["s"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, n_keys long, digest binary, sketch binary")
+    held = known.filter(F.length("sample") > 0).select("sample").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    return np.sort(held.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _filed(column: pa.Array, rule: Rule, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _filed(column: pa.Array, rule: Rule, edges: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a batch's texts and the row of each."""
     keys, sizes = [np.zeros(0, np.uint64)], []
     for s in shingle_sets(column, rule.k):
-        own = [block_keys(s, *x) for x in rule.instances(len(s), edges)] if len(s) else []
+        at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+        rare = (common[at] != s).astype(np.int64) if len(common) else np.ones(len(s), np.int64)
+        own = [block_keys(s, rare, *x) for x in rule.instances(len(s), edges)] if len(s) else []
         keys += own
         sizes.append(sum(map(len, own)))
     return np.concatenate(keys), np.repeat(np.arange(len(sizes)), sizes)
@@ -141,45 +169,80 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return both[at, 0], both[at, 1], np.diff(np.append(at, len(both)))
 
 
-def stars(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """a, b, n: candidate links between a document and the least one that is filed under the same key, and under how many keys."""
+def stars(docs: DataFrame, rule: Rule, buckets: int, common: np.ndarray) -> DataFrame:
+    """kind, a, b, n. Kind 0: candidate links between a document and the least one that is filed under the same key, and under how many keys.
+    Kind 1: key a has document b, for keys of three documents or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    names = ["bucket", "kind", "x", "y", "z", "w"]
+
+    def cut_by(bucket):
+        return np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+
+    def plain(kind, bucket, columns):
+        order = np.argsort(bucket, kind="stable")
+        cut = cut_by(bucket := bucket[order])
+        cells = [[c[order][i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
+        cells += [[b""] * (len(cut) - 1)] * (4 - len(columns))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([kind] * (len(cut) - 1), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names)
+
+    def packed(keys, ids, many):
+        """A row for each bucket: 40 bits of each key, places in a list of documents, the list, and numbers of documents (3 is three or more)."""
+        order = np.lexsort((ids, keys >> KEY_BITS))
+        keys, ids, many = keys[order], ids[order], np.minimum(many[order], 3).astype(np.uint8)
+        bucket = keys >> KEY_BITS
+        cut, cells = cut_by(bucket), []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            own, at = np.unique(ids[i:j], return_inverse=True)
+            k = keys[i:j]
+            cells.append((k.astype("<u4").tobytes() + (k >> 32).astype(np.uint8).tobytes(), at.astype("<u4").tobytes(), own.astype("<i8").tobytes(), many[i:j].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([0] * len(cells), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], names)
+
+    def unpacked(rows, bucket):
+        out = []
+        for x, y, z, w in zip(*(rows[c].to_pylist() for c in "xyzw"), strict=True):
+            n = len(w)
+            low, high = np.frombuffer(x, "<u4", n), np.frombuffer(x, np.uint8, n, 4 * n)
+            out.append((low.astype(np.int64) | high.astype(np.int64) << 32 | bucket << KEY_BITS, np.frombuffer(z, "<i8")[np.frombuffer(y, "<u4")], np.frombuffer(w, np.uint8).astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def local(batches):
         edges = rule.bands()
         for batch in batches:
-            keys, rows = _filed(batch.column(1), rule, edges)
-            ids = longs(batch.column(0))[rows]
-            order, first = _groups(keys, ids)
+            keys, at = _filed(batch.column(1), rule, edges, shared.value)
+            if not len(keys):
+                continue
+            keys = ((keys % np.uint64(buckets)) << np.uint64(KEY_BITS) | (keys // np.uint64(buckets)) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+            order, first = _groups(keys, ids := longs(batch.column(0))[at])
             keys, ids = keys[order], ids[order]
             a, b, n = _pairs(ids[first], ids)
+            if len(b):
+                yield plain(1, b % buckets, (a, b, n))
             lead = first == np.arange(len(first))
-            keys, ids = keys[lead], ids[lead]
-            for kind, bucket, cols in ((0, (keys % np.uint64(buckets)).astype(np.int64), (keys, ids)), (1, b % buckets, (a, b, n))):
-                if not len(bucket):
-                    continue
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-                cells = [[c[order][i:j].astype("<u8" if c.dtype == np.uint64 else "<i8").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for c in cols]
-                cells += [[b""] * (len(cut) - 1)] * (3 - len(cols))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([kind] * (len(cut) - 1), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "kind", "x", "y", "z"])
+            if not lead.all():
+                yield plain(2, ids[~lead] % buckets, (keys[~lead], ids[~lead]))
+            yield packed(keys[lead], ids[lead], np.diff(np.append(np.flatnonzero(lead), len(first))))
 
     def meet(group: pa.Table) -> pa.Table:
         kind = group["kind"].to_numpy()
-        filed, linked = group.filter(pa.array(kind == 0)), group.filter(pa.array(kind == 1))
-        keys, ids = raw(filed["x"])[0].view("<u8"), raw(filed["y"])[0].view("<i8")
+        filed, linked, held = (group.filter(pa.array(kind == k)) for k in range(3))
+        keys, ids, many = unpacked(filed, group["bucket"][0].as_py())
         order, first = _groups(keys, ids)
-        a, b, n = _pairs(ids[order][first], ids[order])
-        columns = [np.concatenate((x, raw(linked[c])[0].view("<i8"))) for x, c in ((a, "x"), (b, "y"), (n, "z"))]
-        return pa.table(columns, names=["a", "b", "n"])
+        keys, ids, many = keys[order], ids[order], many[order]
+        a, b, n = _pairs(ids[first], ids)
+        links = [np.concatenate((x, raw(linked[c])[0].view("<i8"))) for x, c in ((a, "x"), (b, "y"), (n, "z"))]
+        big = np.bincount(first, many, minlength=len(first))[first] >= 3 if len(first) else np.zeros(0, bool)
+        members = [np.concatenate((x[big], raw(held[c])[0].view("<i8"))) for x, c in ((keys, "x"), (ids, "y"))]
+        kinds = np.repeat(np.array([0, 1], np.int32), [len(links[0]), len(members[0])])
+        return pa.table([kinds, *(np.concatenate(c) for c in zip(links, [*members, np.ones(len(members[0]), np.int64)], strict=True))], names=["kind", "a", "b", "n"])
 
-    filed = docs.mapInArrow(local, "bucket long, kind int, x binary, y binary, z binary")
-    return filed.groupBy("bucket").applyInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    filed = docs.mapInArrow(local, "bucket long, kind int, x binary, y binary, z binary, w binary")
+    return filed.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, n long")
 
 
 def screened(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     """The pairs a, b (with their other columns) that sizes and sketches allow, and same: whether the sets are equal."""
-    side = lambda p: known.select(F.col("doc_id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("n", "digest", "sketch")])
+    side = lambda p, *columns: known.select(F.col("doc_id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in columns])
 
     def run(batches):
         for batch in batches:
@@ -187,12 +250,14 @@ def screened(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
             n_a, n_b = longs(get["n_a"]), longs(get["n_b"])
             x, y = (raw(get[c])[0].view("<u8").reshape(-1, SKETCH_BITS // 64) for c in ("sketch_a", "sketch_b"))
             apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = (apart <= rule.most(n_a + n_b)) & (rule.den * np.minimum(n_a, n_b) >= rule.num * np.maximum(n_a, n_b)) & (n_a > 0) & (n_b > 0)
+            ok = (apart <= rule.most(n_a + n_b)) & (n_a > 0) & (n_b > 0)
             same = (raw(get["digest_a"])[0].view("<u8").reshape(-1, 2) == raw(get["digest_b"])[0].view("<u8").reshape(-1, 2)).all(1)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([get["a"].filter(keep), get["b"].filter(keep), get["n"].filter(keep), pa.array(same).filter(keep)], ["a", "b", "n", "same"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    # sizes first: they leave fewer pairs to carry sketches
+    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter(rule.den * F.least("n_a", "n_b") >= rule.num * F.greatest("n_a", "n_b"))
+    joined = sized.join(side("a", "digest", "sketch"), "a").join(side("b", "digest", "sketch"), "b")
     return joined.select("a", "b", "n", "n_a", "digest_a", "sketch_a", "n_b", "digest_b", "sketch_b").mapInArrow(run, "a long, b long, n long, same boolean")
 
 
@@ -220,67 +285,89 @@ def _labelled(frame: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return frame.join(side, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
 
 
-def unmet(texts: DataFrame, roots: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """a, b, n: pairs under a key from different components, without the least document there, which was compared with all."""
+def unmet(held: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, buckets: int, turn: int | None) -> DataFrame:
+    """a, b: pairs of documents under a key (of ``held``: key, doc_id) from different components that sizes and sketches allow. Keys of one component are left out first.
 
-    def local(batches):
-        edges = rule.bands()
-        for batch in batches:
-            keys, rows = _filed(batch.column(1), rule, edges)
-            ids, tops = longs(batch.column(0))[rows], longs(batch.column(2))[rows]
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-            cells = [[c[order][i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for c in (keys, ids, tops)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]] if len(bucket) else [], pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "x", "y", "z"])
+    In a numbered turn, a document is only paired under a few of its keys, other ones each turn, and with the one before it whose sketch is nearest: a group gives hardly more pairs than it has documents.
+    """
+    labelled = _labelled(held, roots, "doc_id")
+    mixed = labelled.groupBy("key").agg(F.min("root_doc_id").alias("x"), F.max("root_doc_id").alias("y")).filter("x <> y").select("key")
+    left = labelled.join(stored(mixed, "mixed"), "key").join(known.select("doc_id", "n", "n_keys", "sketch"), "doc_id")
+    asks = F.lit(True) if turn is None else F.pmod(F.xxhash64("key", "doc_id", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n_keys") / KEYS_ASKED))) == 0
+    left = left.withColumn("asks", asks)
 
-    def meet(group: pa.Table) -> pa.Table:
-        keys, ids, tops = raw(group["x"])[0].view("<u8"), raw(group["y"])[0].view("<i8"), raw(group["z"])[0].view("<i8")
+    def compare(group: pa.Table) -> pa.Table:
+        keys, ids, tops, sizes = (longs(group[c].combine_chunks()) for c in ("key", "doc_id", "root_doc_id", "n"))
+        sketches = raw(group["sketch"])[0].view("<u8").reshape(-1, SKETCH_BITS // 64)
         order, first = _groups(keys, ids)
-        ids, tops = ids[order], tops[order]
-        mixed = np.unique(first[tops != tops[first]])
-        ends = np.append(np.flatnonzero(first == np.arange(len(first))), len(first))
+        ids, tops, sizes, sketches = ids[order], tops[order], sizes[order], sketches[order]
+        asking = group["asks"].to_numpy()[order]
+        cut = np.append(np.flatnonzero(first == np.arange(len(first))), len(first))
         found = [np.zeros((0, 2), np.int64)]
-        for at in mixed.tolist():
-            end = ends[np.searchsorted(ends, at, side="right")]
-            i, t = ids[at + 1 : end], tops[at + 1 : end]
-            for j in range(len(i) - 1):
-                other = i[j + 1 :][t[j + 1 :] != t[j]]
-                found.append(np.stack((np.full(len(other), i[j]), other), 1))
-        a, b, n = _pairs(*np.concatenate(found).T)
-        return pa.table([a, b, n], names=["a", "b", "n"])
-
-    with_roots = _labelled(texts, roots, "doc_id").select("doc_id", "text", "root_doc_id")
-    return with_roots.mapInArrow(local, "bucket long, x binary, y binary, z binary").groupBy("bucket").applyInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            step = max(1, COMPARE_BYTES // ((y - x) * SKETCH_BITS // 8))
+            for i in range(x, y, step):
+                j = min(i + step, y)
+                near = asking[i:j, None] & (tops[i:j, None] != tops[None, x:y]) & (ids[i:j, None] > ids[None, x:y]) & (rule.den * np.minimum(sizes[i:j, None], sizes[None, x:y]) >= rule.num * np.maximum(sizes[i:j, None], sizes[None, x:y]))
+                one, two = np.nonzero(near)
+                apart = np.bitwise_count(sketches[one + i] ^ sketches[two + x]).sum(1, dtype=np.int64)
+                ok = apart <= rule.most(sizes[one + i] + sizes[two + x])
+                one, two, apart = one[ok], two[ok], apart[ok]
+                if turn is not None and len(one):
+                    order = np.lexsort((apart, one))
+                    one, two = one[order], two[order]
+                    pick = np.concatenate(([True], one[1:] != one[:-1]))
+                    one, two = one[pick], two[pick]
+                found.append(np.stack((ids[two + x], ids[one + i]), 1))
+        a, b, _ = _pairs(*np.concatenate(found).T)
+        return pa.table([a, b], names=["a", "b"])
+
+    bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
+    return left.select(bucket, "key", "doc_id", "root_doc_id", "n", "sketch", "asks").groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of all documents of the pairs. Up to ``BROADCAST_IDS`` ids are broadcast, so that no other text moves; more are joined by a shuffle."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = stored(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return stored(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach): a row for each document."""
     rule = Rule(k, num, den)
-    spark = docs.sparkSession
+    spark = tuned(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = stored(profiles(texts, rule), "profiles")
     real = known.filter("doc_id is not null and n > 0")
     total = real.agg(F.sum("n_keys")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KEYS))
-    star = stored(stars(texts.filter("doc_id is not null and text is not null"), rule, buckets), "stars")
+    met = stored(stars(texts.filter("doc_id is not null and text is not null"), rule, buckets, common_shingles(known)), "stars")
+    star = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     allowed = stored(screened(star, real, rule), "candidates")
     sure = allowed.filter("same").select(F.col("a").alias("u"), F.col("b").alias("v"))
     open_ = allowed.filter("not same")
-    met = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
-    near = stored(texts.filter("doc_id is not null").join(met, "doc_id", "left_semi"), "texts")
+    able = texts.filter("doc_id is not null")
+    near = _texts_of(able, open_)
     # the likeliest candidate of each document first: it settles most of them
-    first = open_.groupBy(F.col("b").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    links = stored(sure.unionByName(verified(first, near, rule)), "links")
-    roots = components(links)
+    first = stored(open_.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), "first")
+    roots = components(sure.unionByName(verified(first, near, rule)))
     rest = open_.join(first, ["a", "b"], "left_anti")
     rest = stored(_labelled(_labelled(rest, roots, "a"), roots, "b").filter("root_a <> root_b").select("a", "b"), "rest")
     if not rest.isEmpty():
         roots = components(roots.unionByName(verified(rest, near, rule)))
-    more = stored(screened(unmet(near, roots, rule, buckets).join(star.select("a", "b"), ["a", "b"], "left_anti"), real, rule), "more")
-    if not more.isEmpty():
-        roots = components(roots.unionByName(verified(more, near, rule)))
+    held = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
+    tested = open_.select("a", "b")
+    for turn in range(NEAREST_TURNS + 1):
+        # nearest pairs first, as they join most components; the last turn has all that are left, until none are
+        more = unmet(held, roots, real, rule, buckets, turn if turn < NEAREST_TURNS else None)
+        more = stored(more.join(tested, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            links = stored(verified(more, _texts_of(able, more), rule), "links")
+            if not links.isEmpty():
+                roots = components(roots.unionByName(links))
     return _labelled(known, roots, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("root_doc_id").alias("component_id"))
 
 
