@@ -45,7 +45,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and n_bytes of the text that they decode to."""
-    both = byte_bpe.decode(byte_bpe.encode(docs))
+    both = byte_bpe.round_trip(docs)
     return both.select("doc_id", "n_tokens", "ids", F.length("decoded").cast("long").alias("n_bytes"))
 
 

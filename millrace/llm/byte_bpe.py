@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import binaries, raw, ragged, source, text_slices
+from millrace.llm.shared import binaries, raw, ragged, source, text_slices, tuned
 from millrace.llm.vocab import rank_encoder, token_bytes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,10 +30,7 @@ def default_ranks() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids: little-endian unsigned 32-bit ids of the whole text."""
-    path, split = default_ranks() if ranks is None else (ranks, pattern)
-
+def _encoder(path: str, split: str):
     def run(batches):
         encoder = rank_encoder(path, split)
         for batch in batches:
@@ -41,14 +38,10 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
                 ids, at = encoder.encode(body, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(np.diff(at)), binaries(ids, at).cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
+    return run
 
-def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
-    """The columns of :func:`encode` and decoded: the bytes of all ids. A null list of ids is an empty one; an id beyond the vocabulary is an error."""
-    path = ranks or default_ranks()[0]
 
+def _decoder(path: str):
     def run(batches):
         table, at = token_bytes(path)
         size = np.diff(at)
@@ -60,7 +53,32 @@ def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
                 kept = [batch.column(i).slice(row, end - row) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*kept, binaries(got, total[offsets // 4]).cast(pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return run
+
+
+_TOKENS = "doc_id long, n_tokens long, ids binary"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids: little-endian unsigned 32-bit ids of the whole text."""
+    path, split = default_ranks() if ranks is None else (ranks, pattern)
+    return _texts(docs, id_col, text_col).mapInArrow(_encoder(path, split), _TOKENS)
+
+
+def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
+    """The columns of :func:`encode` and decoded: the bytes of all ids. A null list of ids is an empty one; an id beyond the vocabulary is an error."""
+    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(ranks or default_ranks()[0]), f"{_TOKENS}, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`decode` of :func:`encode` in one Python worker a task."""
+    path, split = default_ranks() if ranks is None else (ranks, pattern)
+    there, back = _encoder(path, split), _decoder(path)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: back(there(batches)), f"{_TOKENS}, decoded binary")
 
 
 def offsets(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -101,5 +119,5 @@ class TextDecoder:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(source(spark, sf_dir, "documents", "doc_id", "text")))
+    both = round_trip(source(spark, sf_dir, "documents", "doc_id", "text"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
