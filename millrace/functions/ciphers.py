@@ -752,7 +752,7 @@ def state_of(key: bytes, tail: bytes, salsa: bool, magic: bytes = b"") -> list[i
 
 
 def arx(salsa: bool, wide: bool):
-    def make(key, nonce=b"REFINERY", magic=b"", offset=0, rounds=20):
+    def make(key, nonce=bytes(8), magic=b"", offset=0, rounds=20):
         if wide:
             inner = permuted(state_of(key, nonce[:16], salsa, magic), rounds, salsa)
             key = struct.pack("<8I", *(inner[i] for i in ((0, 5, 10, 15, 6, 7, 8, 9) if salsa else (0, 1, 2, 3, 12, 13, 14, 15))))
@@ -770,13 +770,14 @@ def arx(salsa: bool, wide: bool):
     return make
 
 
-_ARX = "key -n:nonce:bytes=REFINERY -m:magic:bytes -x:offset:int=0 -r:rounds:int=20"
+#: Without a nonce, eight zero bytes are taken.
+_ARX = "key -n:nonce:bytes -m:magic:bytes -x:offset:int=0 -r:rounds:int=20"
 stream_cipher("salsa", arx(True, False), _ARX)
 stream_cipher("xsalsa", arx(True, True), _ARX)
 stream_cipher("chacha", arx(False, False), _ARX)
 stream_cipher("xchacha", arx(False, True), _ARX)
 for _name, _salsa in (("salsa20", True), ("chacha20", False)):
-    stream_cipher(_name, lambda key, nonce=b"REFINERY", s=_salsa: arx(s, len(nonce) == 24)(key, nonce), "key -n:nonce:bytes=REFINERY")
+    stream_cipher(_name, lambda key, nonce=bytes(8), s=_salsa: arx(s, len(nonce) == 24)(key, nonce), "key -n:nonce:bytes")
 
 
 def poly1305(key: bytes, data: bytes) -> bytes:
@@ -803,13 +804,13 @@ def _aead(data, key, nonce, tag, aad, encrypting):
     return bytes(out)
 
 
-@unit("chacha20poly1305", "key -n:nonce:bytes=REFINERY -t:tag:bytes -a:aad:bytes")
-def chacha20poly1305(data, key, nonce=b"REFINERY", tag=None, aad=None):
+@unit("chacha20poly1305", "key -n:nonce:bytes -t:tag:bytes -a:aad:bytes")
+def chacha20poly1305(data, key, nonce=bytes(8), tag=None, aad=None):
     """ChaCha20-Poly1305; the tag is given, or ends the input."""
     return _aead(data, key, nonce, tag, aad or b"", False)
 
 
-chacha20poly1305.reverse(lambda data, key, nonce=b"REFINERY", tag=None, aad=None: _aead(data, key, nonce, None, aad or b"", True))
+chacha20poly1305.reverse(lambda data, key, nonce=bytes(8), tag=None, aad=None: _aead(data, key, nonce, None, aad or b"", True))
 
 
 def rc4(key, size=256, body=None):
