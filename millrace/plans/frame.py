@@ -333,8 +333,8 @@ class ChunkFrame:
         made = rows.select("path", "ord", "meta", F.explode(both).alias("x")).select("path", F.concat("ord", F.array("x.i")).alias("ord"), F.col("x.v").alias("visible"), F.col("x.d").alias("data"), "meta")
         return self._of(made.unionByName(self.df.filter("not visible").select(*COLUMNS)))
 
-    def popped(self, names: list[tuple[str | None, int]], values: Callable | None = None) -> ChunkFrame:
-        """The first visible chunks of a frame become variables of all others, which are shown again. (None, n) drops n of them."""
+    def popped(self, names: list[tuple[str | None, int]], outwards: int = 0) -> ChunkFrame:
+        """The first visible chunks of a frame become variables of all others, which are shown again, in the scope so many layers further out. (None, n) drops n of them."""
         rows = self.df.withColumn("place", F.when(F.col("visible"), F.sum(F.col("visible").cast("int")).over(self.window) - 1))
         total = sum(n for _, n in names)
         rows = rows.withColumn("gone", F.coalesce(F.col("place") < total, F.lit(False)))
@@ -348,7 +348,8 @@ class ChunkFrame:
         frame = ChunkFrame(out, self.depth)
         for name, _ in names:
             if name is not None:
-                frame = ChunkFrame(frame.df.withColumn("meta", _placed(f"{self.depth}:{name}", F.col(f"pop_{name}"))), self.depth)
+                depth = max(1, self.depth - outwards) if outwards else self.depth
+                frame = ChunkFrame(frame.df.withColumn("meta", _placed(f"{depth}:{name}", F.col(f"pop_{name}"))), self.depth)
         return self._of(frame.df)
 
     def joined_as_variables(self, name: str, data: bytes = b"") -> ChunkFrame:

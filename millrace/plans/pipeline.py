@@ -403,7 +403,7 @@ def _pop(frame: ChunkFrame, call: Call) -> ChunkFrame:
             names.append((name, 1))
             if handlers:
                 after.append((name, handlers))
-    out = frame.popped(names)
+    out = frame.popped(names, call.closes)
     for name, handlers in after:
 
         def step(chunk: Chunk, name=name, handlers=handlers) -> list[Chunk]:
@@ -530,6 +530,32 @@ FRAMES: dict[str, Callable[[ChunkFrame, Call], ChunkFrame]] = {
     "group": _group, "groupby": _groupby, "jamv": lambda f, c: f.joined_as_variables(c.words[0], _literals(c.words[1:2])[0] if len(c.words) > 1 else b""), "pop": _pop, "push": lambda f, c: f.pushed(_literals(c.words)[0] if c.words else None), "qf": lambda f, c: f.queued(_literals(c.words), True), "qb": lambda f, c: f.queued(_literals(c.words), False),
     "reduce": _reduce, "scan": _scan, "sep": _sep(b"\n"), "sbs": _sep(b" "), "sbc": _sep(b","), "transpose": lambda f, c: f.transposed(_literals(c.words)[0] if c.words else b""), "urn": _urn, "xfcc": lambda f, c: f.counted_across(next((w for w in c.words if w != "-r"), "count"), "-r" in c.words),
 }
+
+
+def _tcp(frame: ChunkFrame, call: Call) -> ChunkFrame:
+    """Streams of each direction from the packets of a frame, or of all chunks where there is none."""
+    from millrace.functions.formats import reassembled
+
+    flags, _ = _flags(call.words)
+
+    def work(chunks: list[Chunk]) -> list[Chunk]:
+        shown = [c for c in chunks if c.visible]
+        if not shown:
+            return chunks
+        out = [c for c in chunks if not c.visible]
+        for i, (src, dst, body, first) in enumerate(reassembled([c.data for c in shown])):
+            if ("c" in flags and not first) or ("s" in flags and first):
+                continue
+            made_ = replace(shown[0], data=body, ord=[*shown[0].ord, i], meta=dict(shown[0].meta))
+            for k, v in (("src", src), ("dst", dst), ("client", int(first))):
+                made_.put(k, v)
+            out.append(made_)
+        return out
+
+    return frame.framewise(work)
+
+
+FRAMES["tcp"] = _tcp
 #: Frame steps that open frames on their own.
 _OWN_LAYER = {"group", "groupby"}
 
@@ -551,6 +577,10 @@ class Pipeline:
         frame = source if isinstance(source, ChunkFrame) else ChunkFrame.of(self.spark, [source] if isinstance(source, bytes) else list(source or [b""]))
         waiting: list[Call] = []
         for call in self.calls:
+            if call.name in ("ef", "dump", "d2p"):
+                frame = self._files(self._flush(frame, waiting), call)
+                waiting = []
+                continue
             plain = call.name not in FRAMES and call.name != "emit"
             if plain and call.name not in UNITS and call.name not in STEPS:
                 raise ValueError(f"no unit is called {call.name}")
@@ -567,6 +597,19 @@ class Pipeline:
             frame = self._framed(frame, call, work)
         return self._flush(frame, waiting)
 
+    def _files(self, frame: ChunkFrame, call: Call) -> ChunkFrame:
+        """ef reads the files of a pattern, dump and d2p write the chunks to a folder by their names and pass them on."""
+        from millrace import sources
+
+        words = [w for w in call.words if not w.startswith("-")]
+        if call.name == "ef":
+            folder, _, pattern = words[0].rpartition("/")
+            out = sources.read_files(self.spark, folder or ".", pattern or None, "**" in words[0])
+            return out.opened(F.lit(""), call.opens) if call.opens else out
+        template = "{path}" if call.name == "d2p" else words[1] if len(words) > 1 else "{index}.bin"
+        sources.dump(frame, words[0] if words else ".", template, "-f" in call.words).collect()
+        return frame.closed(call.closes) if call.closes else frame
+
     def _emitted(self, frame: ChunkFrame, call: Call) -> ChunkFrame:
         texts = call.words or ("",)
 
@@ -640,6 +683,16 @@ class Pipeline:
     def chunks(self, data: bytes | list[bytes] | None = None) -> list[bytes]:
         return self.run(data).collect()
 
+    def distinct(self, data: bytes | list[bytes] | None = None) -> set[bytes]:
+        """The set of chunks; equal ones are put together before they reach the driver."""
+        return {bytes(r["data"]) for r in self.run(data).df.select("data").distinct().collect()}
+
+    def by(self, name: str, data: bytes | list[bytes] | None = None) -> dict[bytes, list[bytes]]:
+        """Lists of chunks by a variable, in their order."""
+        parts = F.sort_array(F.collect_list(F.struct("ord", "data")))
+        rows = self.run(data).table(name).groupBy(name).agg(parts.alias("parts")).collect()
+        return {bytes(r[name]): [bytes(p["data"]) for p in r["parts"]] for r in rows if r[name] is not None}
+
 
 def load_pipeline(spark: SparkSession, text: str) -> Pipeline:
     return Pipeline(spark, parse(text))
