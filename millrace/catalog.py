@@ -168,7 +168,7 @@ def _unit(name: str, source: tuple[str, str, str], sql: str, unit: str, reverse:
         return rows.select(key, (F.decode("out", "UTF-8") if as_text else F.lower(F.hex("out"))).alias("out"))
 
     run.__name__ = name
-    return query(sql)(run)
+    return query(sql or None)(run)
 
 
 _PART = ("part", "p_partkey", "p_name")
@@ -335,6 +335,78 @@ def pipeline_dedup(spark, sf):
     found = load_pipeline(spark, "dedup | cupper | cca !").run(frame).df
     return found.groupBy(F.col("path")[0].cast("long").alias("conv_id")).agg(F.count("*").alias("n"))
 
+def _bytes(name: str, unit: str, formula: str, **args):
+    """A query that applies a unit of blocks to part names; ``formula`` gives each byte from b (and its index i)."""
+    sql = f"select p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: printf('%02x', {formula.replace('b', 'ascii(substr(p_name, i, 1))')})), '') as out from part"
+    _unit(name, _PART, sql, unit, False, False, **args)
+
+
+_bytes("sub_constant", "sub", "(b + 255) % 256", argument=1)
+_bytes("shl_one", "shl", "(b * 2) % 256", argument=1)
+_bytes("shr_one", "shr", "b // 2", argument=1)
+_bytes("rotl_one", "rotl", "(b * 2) % 256 + b // 128", argument=1)
+_bytes("rotr_one", "rotr", "b // 2 + (b % 2) * 128", argument=1)
+_bytes("xor_key", "xor", "xor(b, case i % 3 when 1 then 107 when 2 then 101 else 121 end)", argument=b"key")
+_bytes("alu_sum", "alu", "(b + i - 1) % 256", operator="B+K")
+_bytes("bitrev_bytes", "bitrev", "(b % 2) * 128 + (b // 2 % 2) * 64 + (b // 4 % 2) * 32 + (b // 8 % 2) * 16 + (b // 16 % 2) * 8 + (b // 32 % 2) * 4 + (b // 64 % 2) * 2 + b // 128")
+_LIST = "list_transform(range(1, length(p_name) + 1), lambda i: cast(ascii(substr(p_name, i, 1)) as bigint))"
+_unit("djb2_text", _PART, f"select p_partkey, printf('%08x', list_reduce(list_prepend(5381::bigint, {_LIST}), lambda h, x: (h * 33 + x) % 4294967296)) as out from part", "djb2", text=True)
+_unit("fnv1a_text", _PART, f"select p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::bigint, {_LIST}), lambda h, x: (xor(h, x) * 16777619) % 4294967296)) as out from part", "fnv1a", text=True)
+_unit("fnv1_text", _PART, f"select p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::bigint, {_LIST}), lambda h, x: xor((h * 16777619) % 4294967296, x))) as out from part", "fnv1", text=True)
+_unit("netbios_encode", _PART, "select p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: chr(cast(65 + ascii(substr(p_name, i, 1)) // 16 as integer)) || chr(cast(65 + ascii(substr(p_name, i, 1)) % 16 as integer))), '') as out from part", "netbios", True)
+_unit("byteswap_pairs", _PART, "select p_partkey, regexp_replace(left(p_name, length(p_name) // 2 * 2), '(.)(.)', '\\2\\1', 'g') as out from part", "byteswap", size=2)
+_unit("snip_middle", _CUSTOMER, "select c_custkey, substr(c_name, 3, 5) as out from customer", "snip", slices=(slice(2, 7),))
+_unit("pack_numbers", _CUSTOMER, "select c_custkey, printf('%02x', cast(regexp_extract(c_name, '[0-9]+') as bigint) % 256) as out from customer", "pack", False, False)
+_unit("defang_urls", ("pages", "page_id", "url"), "", "defang")
+_unit("htmlesc_encode", _PART, "select p_partkey, replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as out from part", "htmlesc", True)
+_unit("vigenere_names", _PART, "", "vigenere", True, key=b"lemon")
+_unit("pbkdf2_keys", _CUSTOMER, "", "pbkdf2", False, False, size=16, salt=b"salt", iter=10)
+_unit("peek_names", _CUSTOMER, "", "peek")
+_unit("sm4_round_trip", _CUSTOMER, "", "sm4", True, False, key=b"0123456789abcdef")
+
+
+def _pipe(name: str, source: tuple[str, str, str, str | None], text: str, sql: str, *names: str):
+    """A query that runs a pipeline over a table: (table, data, order, frame); variables are columns of text."""
+    tbl, data, order, frame = source
+
+    def run(spark, sf):
+        from millrace.plans import ChunkFrame, load_pipeline
+
+        columns = [*dict.fromkeys(c for c in (data, order, frame) if c)]
+        rows = ChunkFrame.from_table(table(spark, sf, tbl, *columns), data, order, frame, key=frame or order)
+        found = load_pipeline(spark, text).run(rows).table("key", *names)
+        return found.select(*[F.decode(n, "UTF-8").alias(n) for n in ("key", *names)], F.decode("data", "UTF-8").alias("out"))
+
+    run.__name__ = name
+    return query(sql or None)(run)
+
+
+_NATION = ("nation", "n_name", "n_nationkey", "n_regionkey")
+_pipe("pipe_put_eat", _NATION, "put n size | eat n", "select cast(n_regionkey as varchar) as key, cast(length(n_name) as varchar) as out from nation")
+_pipe("pipe_swap", _NATION, "put n | cupper | cca ! | swap n", "select cast(n_regionkey as varchar) as key, upper(n_name) || '!' as n, n_name as out from nation", "n")
+_pipe("pipe_pf", _NATION, "pf {key}:{}:{size}", "select cast(n_regionkey as varchar) as key, n_regionkey || ':' || n_name || ':' || length(n_name) as out from nation")
+_pipe("pipe_reduce", _NATION, "reduce cca[var:t]", "select cast(n_regionkey as varchar) as key, string_agg(n_name, '' order by n_nationkey desc) as out from nation group by 1")
+_pipe("pipe_loop", _NATION, "loop 3 cca[!]", "select cast(n_regionkey as varchar) as key, n_name || '!!!' as out from nation")
+_pipe("pipe_iff", _NATION, "iff size -gt 6", "select cast(n_regionkey as varchar) as key, n_name as out from nation where length(n_name) > 6")
+_pipe("pipe_iffx", _NATION, "iffx A.*A", "select cast(n_regionkey as varchar) as key, n_name as out from nation where regexp_matches(n_name, 'A.*A')")
+_pipe("pipe_iffp", _NATION, "iffp [A-H].*", "select cast(n_regionkey as varchar) as key, n_name as out from nation where regexp_full_match(n_name, '[A-H].*')")
+_pipe("pipe_iff_hidden", _NATION, "iff -r size -gt 6 | cca !", "select cast(n_regionkey as varchar) as key, case when length(n_name) > 6 then n_name || '!' else n_name end as out from nation")
+_pipe("pipe_rep", _NATION, "rep 2", "select cast(n_regionkey as varchar) as key, n_name as out from nation, range(2)")
+_pipe("pipe_chop", _NATION, "chop 3", "select cast(n_regionkey as varchar) as key, substr(n_name, i * 3 + 1, 3) as out from (select *, unnest(range(0, cast(ceil(length(n_name) / 3.0) as bigint))) as i from nation)")
+_pipe("pipe_snip", _NATION, "snip 1:3", "select cast(n_regionkey as varchar) as key, substr(n_name, 2, 2) as out from nation")
+_pipe("pipe_queues", _NATION, "qf first | qb last", "select cast(n_regionkey as varchar) as key, n_name as out from nation union all select null, x from (select distinct n_regionkey from nation), (values ('first'), ('last')) v(x)")
+_pipe("pipe_sep", _NATION, "sep -", "select cast(n_regionkey as varchar) as key, n_name as out from nation union all select null, '-' from (select n_regionkey, unnest(range(count(*) - 1)) from nation group by 1)")
+_pipe("pipe_scan", _NATION, "put n size | scan m=m+n", "select cast(n_regionkey as varchar) as key, cast(sum(length(n_name)) over (partition by n_regionkey order by n_nationkey rows unbounded preceding) as varchar) as m, n_name as out from nation", "m")
+_pipe("pipe_dedup_count", ("conversations", "role", "turn", "conv_id"), "dedup -c", "select cast(conv_id as varchar) as key, cast(count(*) as varchar) as count, role as out from conversations group by conv_id, role", "count")
+_pipe("pipe_max", _NATION, "max", "select cast(n_regionkey as varchar) as key, max(n_name) as out from nation group by 1")
+_pipe("pipe_pick_ends", _NATION, "pick 0 -1", "select cast(n_regionkey as varchar) as key, n_name as out from (select *, row_number() over (partition by n_regionkey order by n_nationkey) as a, row_number() over (partition by n_regionkey order by n_nationkey desc) as b from nation) where a = 1 or b = 1")
+_pipe("pipe_transpose", _NATION, "transpose", "select cast(n_regionkey as varchar) as key, string_agg(substr(n_name, p, 1), '' order by n_nationkey) as out from (select *, unnest(range(1, length(n_name) + 1)) as p from nation) group by n_regionkey, p")
+_pipe("pipe_rex", _NATION, "rex [AEIOU]+", "select cast(n_regionkey as varchar) as key, unnest(regexp_extract_all(n_name, '[AEIOU]+')) as out from nation")
+_pipe("pipe_resplit", _NATION, "resplit A", "select cast(n_regionkey as varchar) as key, unnest(string_split(n_name, 'A')) as out from nation")
+_pipe("pipe_codecs", _NATION, "hex -R | b64 -R | b64 | hex | rev", "select cast(n_regionkey as varchar) as key, reverse(n_name) as out from nation")
+_pipe("pipe_hashes", _NATION, "md5 | sha256 -t", "select cast(n_regionkey as varchar) as key, sha256(from_hex(md5(n_name))) as out from nation")
+_pipe("pipe_crypto", _NATION, "rc4 -R key | rc4 key | aes -R h:00112233445566778899aabbccddeeff | aes h:00112233445566778899aabbccddeeff", "select cast(n_regionkey as varchar) as key, n_name as out from nation")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct documents by hash with their numbers, the most frequent first: dedup -c, sorted and pick in one plan."""
