@@ -79,3 +79,41 @@ def test_captures():
     from millrace.functions.formats import reassembled
 
     assert [*reassembled(found)] == [("10.0.0.1:5000", "10.0.0.2:80", b"HELLOWORLD", True)]
+
+
+def seven(files: dict[str, bytes], encode: bool) -> bytes:
+    """A 7z archive of one LZMA2 folder, with a plain or a packed header."""
+    import lzma
+
+    def number(v):
+        return bytes((v,)) if v < 0x80 else b"\xc0" + struct.pack("<H", v) if v < 0x10000 else b"\xf0" + struct.pack("<I", v)
+
+    pack = lambda b: lzma.compress(b, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 20}])
+    folder = lambda n: b"\x07\x0b\x01\x00\x01\x21\x21\x01\x10\x0c" + number(n) + b"\x00"
+    body = b"".join(files.values())
+    packed = pack(body)
+    sizes = b"".join(number(len(b)) for b in [*files.values()][:-1])
+    names = b"\x00" + b"".join(n.encode("utf-16le") + b"\0\0" for n in files)
+    main = b"\x01\x04\x06" + number(0) + b"\x01\x09" + number(len(packed)) + b"\x00" + folder(len(body)) + b"\x08\x0d" + number(len(files)) + b"\x09" + sizes + b"\x00\x00"
+    main += b"\x05" + number(len(files)) + b"\x11" + number(len(names)) + names + b"\x00\x00"
+    if encode:
+        head = pack(main)
+        last = b"\x17\x06" + number(len(packed)) + b"\x01\x09" + number(len(head)) + b"\x00" + folder(len(main)) + b"\x00"
+        packed, main = packed + head, last
+    return b"7z\xbc\xaf\x27\x1c\0\4" + bytes(4) + struct.pack("<QQI", len(packed), len(main), zlib.crc32(main)) + packed + main
+
+
+@pytest.mark.parametrize("encode", [False, True])
+def test_seven(encode):
+    files = {"a.txt": b"first" * 50, "sub/b.bin": bytes(range(256)) * 9, "c": b"x"}
+    assert {m["path"].decode(): b for b, m in UNITS["xt7z"](seven(files, encode))} == files
+
+
+def test_branch_filter():
+    import lzma
+
+    from millrace.functions.sevenzip import unfiltered
+
+    code = b"\x90\xe8\x10\x00\x00\x00" * 200
+    packed = lzma.compress(code, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_X86}, {"id": lzma.FILTER_LZMA2, "preset": 0}])
+    assert unfiltered(lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 0}]).decompress(packed)) == code
