@@ -614,3 +614,57 @@ def pkcs7sig(data, tabular=False, minimal=False):
 
     walk(json.loads(text))
     return dumped({"Names": names, "Digests": digests})
+
+
+@paths_unit("xtrpa", "Files of a RenPy archive, version 3.")
+def xtrpa(data):
+    import io
+    import pickle
+
+    class Plain(pickle.Unpickler):
+        def find_class(self, module, name):
+            raise ValueError("only plain values are read")
+
+    first, offset, *keys = data.split(b"\n", 1)[0].split()
+    if first != b"RPA-3.0":
+        raise ValueError("no archive of version 3")
+    key = 0
+    for k in keys:
+        key ^= int(k, 16)
+    index = Plain(io.BytesIO(zlib.decompress(data[int(offset, 16) :])), encoding="latin-1").load()
+    out = []
+    for name, parts in index.items():
+        body = b""
+        for at, n, *start in parts:
+            head = start[0] if start else b""
+            head = head.encode("latin-1") if isinstance(head, str) else head
+            body += head + data[at ^ key : (at ^ key) + (n ^ key) - len(head)]
+        out.append((name if isinstance(name, str) else name.decode("utf-8", "replace"), body, {}))
+    return out
+
+
+@unit("docmeta", "-t:tabular -m:minimal")
+def docmeta(data, tabular=False, minimal=False):
+    """Properties of an Office document, as JSON."""
+    from xml.etree import ElementTree
+
+    if data[:4] == b"PK\3\4":
+        z, out = zipfile.ZipFile(BytesIO(data)), {}
+        for part in ("docProps/core.xml", "docProps/app.xml"):
+            if part in z.namelist():
+                out |= {re.sub(r"\{.*\}", "", e.tag): e.text for e in ElementTree.fromstring(z.read(part)) if e.text and e.text.strip()}
+        return dumped(out)
+    found = compound(data).get("\x05SummaryInformation")
+    if found is None:
+        raise ValueError("no properties")
+    # fixed values: numbers of summary properties
+    names = {2: "title", 3: "subject", 4: "creator", 5: "keywords", 6: "description", 7: "template", 8: "lastModifiedBy", 9: "revision", 10: "editTime", 12: "created", 13: "modified", 14: "pages", 15: "words", 16: "characters", 18: "application"}
+    at, out = struct.unpack_from("<I", found, 44)[0], {}
+    for i in range(struct.unpack_from("<I", found, at + 4)[0]):
+        number, where = struct.unpack_from("<II", found, at + 8 + 8 * i)
+        kind = struct.unpack_from("<I", found, at + where)[0]
+        body = found[at + where + 4 :]
+        value = body[4 : 4 + struct.unpack_from("<I", body)[0]].rstrip(b"\0").decode("cp1252", "replace") if kind == 30 else struct.unpack_from("<i", body)[0] if kind in (2, 3) else filetime(struct.unpack_from("<Q", body)[0]) if kind == 64 else None
+        if number in names and value is not None:
+            out[names[number]] = value
+    return dumped(out)

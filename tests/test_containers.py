@@ -117,3 +117,16 @@ def test_branch_filter():
     code = b"\x90\xe8\x10\x00\x00\x00" * 200
     packed = lzma.compress(code, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_X86}, {"id": lzma.FILTER_LZMA2, "preset": 0}])
     assert unfiltered(lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 0}]).decompress(packed)) == code
+
+
+def test_games_and_properties():
+    import pickle
+
+    body = b"image data"
+    index = zlib.compress(pickle.dumps({"a.png": [(34 ^ 0x42, len(body) ^ 0x42, b"")]}))
+    rpa = b"RPA-3.0 %016x %08x\n" % (34 + len(body), 0x42) + body + index
+    assert [(b, m["path"]) for b, m in UNITS["xtrpa"](rpa)] == [(body, b"a.png")]
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("docProps/core.xml", '<c xmlns:d="u"><d:title>T</d:title></c>')
+    assert json.loads(UNITS["docmeta"].one(z.getvalue())) == {"title": "T"}
