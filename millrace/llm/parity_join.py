@@ -30,13 +30,13 @@ from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, raw, run_hashes, s
 #: Bits of the sketch of a whole set.
 SKETCH_BITS = 2048
 #: Keys in a bucket, about, and bits of a key beside its bucket: so few keys of a bucket agree by chance, however many buckets there are.
-BUCKET_KEYS, KEY_BITS = 1 << 20, 40
+BUCKET_KEYS, KEY_BITS = 1 << 19, 40
 #: Documents from which common shingles are learnt, about, and how many of the commonest count as such at most.
 SAMPLE, COMMON = 5000, 1 << 17
 #: Ids (of 8 bytes) that may be broadcast.
 BROADCAST_IDS = 1 << 20
-#: Turns in which documents are compared with their nearest under so many of their keys, about, before all that are still apart are.
-NEAREST_TURNS, KEYS_ASKED = 3, 3
+#: Turns in which documents are compared with their nearest under one key in so many, before all that are still apart are.
+NEAREST_TURNS, KEY_SHARE = 2, 8
 #: Bytes of sketches that are compared at once.
 COMPARE_BYTES = 1 << 25
 
@@ -285,35 +285,39 @@ def _labelled(frame: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return frame.join(side, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
 
 
-def unmet(held: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, buckets: int, turn: int | None) -> DataFrame:
-    """a, b: pairs of documents under a key (of ``held``: key, doc_id) from different components that sizes and sketches allow. Keys of one component are left out first.
+def unmet(held: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, rule: Rule, buckets: int, turn: int | None) -> DataFrame:
+    """a, b: pairs of documents under a key (of ``held``: key, doc_id) from different components that sizes and sketches allow, without those tested. Keys of one component are left out first.
 
-    In a numbered turn, a document is only paired under a few of its keys, other ones each turn, and with the one before it whose sketch is nearest: a group gives hardly more pairs than it has documents.
+    A numbered turn takes one key in ``KEY_SHARE``, other ones each turn. In the first ``NEAREST_TURNS``, a document is only paired with the one before it whose sketch is nearest, so a group gives hardly more pairs than it has documents.
     """
+    if turn is not None:
+        held = held.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(KEY_SHARE)) == 0)
     labelled = _labelled(held, roots, "doc_id")
     mixed = labelled.groupBy("key").agg(F.min("root_doc_id").alias("x"), F.max("root_doc_id").alias("y")).filter("x <> y").select("key")
-    left = labelled.join(stored(mixed, "mixed"), "key").join(known.select("doc_id", "n", "n_keys", "sketch"), "doc_id")
-    asks = F.lit(True) if turn is None else F.pmod(F.xxhash64("key", "doc_id", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n_keys") / KEYS_ASKED))) == 0
-    left = left.withColumn("asks", asks)
+    left = labelled.join(stored(mixed, "mixed"), "key").join(known.select("doc_id", "n", "sketch"), "doc_id")
+    left = left.join(tested.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list("a").alias("done")), "doc_id", "left")
 
     def compare(group: pa.Table) -> pa.Table:
         keys, ids, tops, sizes = (longs(group[c].combine_chunks()) for c in ("key", "doc_id", "root_doc_id", "n"))
         sketches = raw(group["sketch"])[0].view("<u8").reshape(-1, SKETCH_BITS // 64)
         order, first = _groups(keys, ids)
         ids, tops, sizes, sketches = ids[order], tops[order], sizes[order], sketches[order]
-        asking = group["asks"].to_numpy()[order]
         cut = np.append(np.flatnonzero(first == np.arange(len(first))), len(first))
+        done = np.array([(a, b) for b, others in zip(group["doc_id"].to_pylist(), group["done"].to_pylist(), strict=True) for a in others or ()], np.int64).reshape(-1, 2)
+        done = np.unique(done, axis=0).view("V16").ravel()
         found = [np.zeros((0, 2), np.int64)]
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             step = max(1, COMPARE_BYTES // ((y - x) * SKETCH_BITS // 8))
             for i in range(x, y, step):
                 j = min(i + step, y)
-                near = asking[i:j, None] & (tops[i:j, None] != tops[None, x:y]) & (ids[i:j, None] > ids[None, x:y]) & (rule.den * np.minimum(sizes[i:j, None], sizes[None, x:y]) >= rule.num * np.maximum(sizes[i:j, None], sizes[None, x:y]))
+                near = (tops[i:j, None] != tops[None, x:y]) & (ids[i:j, None] > ids[None, x:y]) & (rule.den * np.minimum(sizes[i:j, None], sizes[None, x:y]) >= rule.num * np.maximum(sizes[i:j, None], sizes[None, x:y]))
                 one, two = np.nonzero(near)
                 apart = np.bitwise_count(sketches[one + i] ^ sketches[two + x]).sum(1, dtype=np.int64)
                 ok = apart <= rule.most(sizes[one + i] + sizes[two + x])
                 one, two, apart = one[ok], two[ok], apart[ok]
-                if turn is not None and len(one):
+                new = ~np.isin(np.ascontiguousarray(np.stack((ids[two + x], ids[one + i]), 1)).view("V16").ravel(), done) if len(done) and len(one) else np.ones(len(one), bool)
+                one, two, apart = one[new], two[new], apart[new]
+                if turn is not None and turn < NEAREST_TURNS and len(one):
                     order = np.lexsort((apart, one))
                     one, two = one[order], two[order]
                     pick = np.concatenate(([True], one[1:] != one[:-1]))
@@ -323,7 +327,7 @@ def unmet(held: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, bucke
         return pa.table([a, b], names=["a", "b"])
 
     bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
-    return left.select(bucket, "key", "doc_id", "root_doc_id", "n", "sketch", "asks").groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return left.select(bucket, "key", "doc_id", "root_doc_id", "n", "sketch", "done").groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -359,9 +363,9 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
         roots = components(roots.unionByName(verified(rest, near, rule)))
     held = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
     tested = open_.select("a", "b")
-    for turn in range(NEAREST_TURNS + 1):
-        # nearest pairs first, as they join most components; the last turn has all that are left, until none are
-        more = unmet(held, roots, real, rule, buckets, turn if turn < NEAREST_TURNS else None)
+    for turn in [*range(NEAREST_TURNS + 1), None]:
+        # nearest pairs first, as they join most components, then all under some keys, then all that are left
+        more = unmet(held, roots, real, tested, rule, buckets, turn)
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             tested = tested.unionByName(more)
