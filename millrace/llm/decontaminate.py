@@ -28,7 +28,7 @@ from millrace.llm.shared import ALNUM, LOWER, binaries, hash_of, ragged, raw, so
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text in a shard of the index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def item_words(text: str | None) -> list[bytes]:
