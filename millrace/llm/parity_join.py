@@ -303,7 +303,8 @@ def unmet(held: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame
         order, first = _groups(keys, ids)
         ids, tops, sizes, sketches = ids[order], tops[order], sizes[order], sketches[order]
         cut = np.append(np.flatnonzero(first == np.arange(len(first))), len(first))
-        done = np.array([(a, b) for b, others in zip(group["doc_id"].to_pylist(), group["done"].to_pylist(), strict=True) for a in others or ()], np.int64).reshape(-1, 2)
+        own, once = np.unique(longs(group["doc_id"].combine_chunks()), return_index=True)
+        done = np.array([(a, b) for b, others in zip(own.tolist(), group["done"].take(pa.array(once)).to_pylist(), strict=True) for a in others or ()], np.int64).reshape(-1, 2)
         done = np.unique(done, axis=0).view("V16").ravel()
         found = [np.zeros((0, 2), np.int64)]
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
