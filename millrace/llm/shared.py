@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are handled at once; a longer single document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes of an Arrow batch, about.
 BATCH_BYTES = 2 << 20
-# Arrow's own allocator keeps what it has freed; workers live on between tasks and share an executor's memory
-pa.set_memory_pool(pa.system_memory_pool())
 
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
