@@ -1,13 +1,13 @@
 """URL filters: rules for hosts and paths, and a path-template tree for urls that no rule fits.
 
 The tree has a node for each host and template of a path. It is made from the top down, a segment at a time, from counts: children
-of a node that are numbers, are too many, or hardly ever repeat, are one wildcard ``*``; of the others, those with enough labelled urls whose share of blocked ones does not differ
+of a node that are numbers, or are rare and hardly ever repeat, are one wildcard ``*``; of the others, however many, those with enough labelled urls whose share of blocked ones does not differ
 significantly from their siblings' are merged into one branch ``~``; the rest keep their segment. Segments beyond ``LEVELS`` are ``**``.
 Urls that a rule fits are the labelled ones. A template is rejected if its smoothed purity, the share of blocked urls among its labelled ones drawn towards the whole
 table's share, reaches ``REJECT``.
 
 All of it is DataFrame operations. Counts are summed before they are dealt out, so a hot host costs a row a task and segment, and joins back to the rows are
-sort-merge joins, whose hot keys Spark splits. A node that is not a wildcard has at most ``CHILDREN`` children, which bounds each map of them.
+sort-merge joins, whose hot keys Spark splits. A child's name is a row by host, template and segment, so a node can have any number of children.
 
 Null urls and those without ``://`` have an empty host and path, and are a host of their own. Null and repeated page_ids are kept. Other columns are dropped.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import source, stored
 
 LEVELS = 3
-#: A node with more different children, or (from ``FEW`` urls on) with more than half as many as urls, has a wildcard.
-CHILDREN, FEW = 16, 8
+#: A child with so many urls keeps its segment. A node's other children, if they have so many urls together and are more than half as many as these, are a wildcard.
+FEW = 8
 #: Labelled urls that a branch and its siblings each need before they can be merged, and the z value below which they are alike.
 LABELLED, ALIKE = 5, 1.96
 #: Weight of the table's share of blocked urls, in urls, and the purity from which a template is rejected.
@@ -69,20 +69,19 @@ def _grown(rows: DataFrame, level: int) -> DataFrame:
     live = rows.filter(F.col("seg").isNotNull())
     children = live.groupBy(*node, "seg").agg(F.count("*").alias("n"), F.count("judged").alias("lab"), F.count_if(F.col("judged") == "block").alias("blk"))
     children = stored(children, f"children{level}")
-    nodes = children.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("rows"), F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
-    wild = (F.col("kids") > CHILDREN) | ((F.col("rows") >= FEW) & (2 * F.col("kids") > F.col("rows")))
-    kept = stored(nodes.filter(~wild), f"nodes{level}")
+    rare = F.col("n") < FEW
+    nodes = children.groupBy(*node).agg(F.count_if(rare).alias("rare_kids"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare_rows"), F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
+    wild = rare & (F.col("rare_rows") >= FEW) & (2 * F.col("rare_kids") > F.col("rare_rows"))
     rest_lab, rest_blk = F.col("all_lab") - F.col("lab"), F.col("all_blk") - F.col("blk")
     over = F.try_divide
     pooled = over(F.col("all_blk"), F.col("all_lab"))
     spread = F.sqrt(pooled * (1 - pooled) * (over(F.lit(1), F.col("lab")) + over(F.lit(1), rest_lab)))
     apart = F.abs(over(F.col("blk"), F.col("lab")) - over(rest_blk, rest_lab))
     alike = F.coalesce((F.col("lab") >= LABELLED) & (rest_lab >= LABELLED) & (apart <= ALIKE * spread), F.lit(False))
-    named = children.join(kept, node).withColumn("name", F.when(alike, F.lit("~")).otherwise(F.col("seg")))
-    names = named.groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("seg", "name"))).alias("names"))
-    joined = rows.join(stored(names, f"names{level}"), node, "left")
-    name = F.when(F.col("names").isNull(), F.lit("*")).otherwise(F.col("names")[F.col("seg")])
-    return joined.withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), name))).drop("names")
+    name = F.when(wild, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("seg"))
+    names = children.join(nodes, node).select(*node, "seg", name.alias("name"))
+    joined = rows.join(stored(names, f"names{level}"), [*node, "seg"], "left")
+    return joined.withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), "name"))).drop("name")
 
 
 def templates(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -326,6 +326,16 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert all(got[i] == "block" for i in range(30)) and all(got[100 + i] == "allow" for i in range(30))
 
 
+def test_url_nodes_keep_frequent_children_however_many(spark):
+    sections = ["de", "en", "fr", "news", *(f"part-{c}" for c in "abcdefghijklmnopqrst")]
+    urls = [f"http://www.example.com/{s}/{i}" for s in sections for i in range(20)] + [f"http://www.example.com/once-{c}" for c in "abcdefghijklmnop"]
+    df = spark.createDataFrame(list(enumerate([*urls, *(f"http://a.org/fr/{i}" for i in range(20))])), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(url_filter.templates(df)).collect()}
+    for i, u in enumerate(urls):
+        section = u.split("/")[3]
+        assert got[i].template == ("/*" if section.startswith("once") else f"/{section}/*") and got[i].verdict == ("block" if section == "de" else "allow"), u
+
+
 # ---------------------------------------------------------------- 5, 8: classifiers
 def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
