@@ -3,8 +3,8 @@
 The tree has a node for each host and template of a path. It is made from the top down, a segment at a time, from counts: children
 of a node that are numbers, or are rare and hardly ever repeat, are one wildcard ``*``; of the others, however many, those with enough labelled urls whose share of blocked ones does not differ
 significantly from their siblings' are merged into one branch ``~``; the rest keep their segment. Segments beyond ``LEVELS`` are ``**``.
-Urls that a rule fits are the labelled ones. A template is rejected if its smoothed purity, the share of blocked urls among its labelled ones drawn towards the whole
-table's share, reaches ``REJECT``.
+Urls that a rule fits are the labelled ones. A template is rejected if its smoothed purity, the share of blocked urls among its own labelled ones drawn towards
+``NEUTRAL``, reaches ``REJECT``. So one without labelled urls is never rejected for what other templates or hosts hold, and one whose labelled urls are all blocked needs eight.
 
 All of it is DataFrame operations. Counts are summed before they are dealt out, so a hot host costs a row a task and segment, and joins back to the rows are
 sort-merge joins, whose hot keys Spark splits. A child's name is a row by host, template and segment, so a node can have any number of children.
@@ -26,8 +26,8 @@ LEVELS = 3
 FEW = 8
 #: Labelled urls that a branch and its siblings each need before they can be merged, and the z value below which they are alike.
 LABELLED, ALIKE = 5, 1.96
-#: Weight of the table's share of blocked urls, in urls, and the purity from which a template is rejected.
-PRIOR, REJECT = 2.0, 0.9
+#: The purity of a template without labelled urls, its weight in urls, and the purity from which a template is rejected.
+NEUTRAL, PRIOR, REJECT = 0.5, 2.0, 0.9
 #: Segments that are numbers or hexadecimal ids, maybe with a suffix.
 VARIABLE = r"^[0-9a-f-]*[0-9][0-9a-f-]*(\.[a-z]{2,5})?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,8 +101,7 @@ def templates(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str
 def judge(made: DataFrame, reject: float = REJECT) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity. The rule's verdict, or block for rejected templates, else allow."""
     lab, blk = F.count("judged"), F.count_if(F.col("judged") == "block")
-    share = made.agg(F.try_divide(blk, lab).alias("share")).first()[0] or 0.0
-    purity = (F.col("blk") + PRIOR * share) / (F.col("lab") + PRIOR)
+    purity = (F.col("blk") + PRIOR * NEUTRAL) / (F.col("lab") + PRIOR)
     nodes = made.groupBy("host", "tpl").agg(lab.alias("lab"), blk.alias("blk")).select("host", "tpl", purity.alias("purity"))
     verdict = F.coalesce("judged", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
     return made.join(stored(nodes, "purity"), ["host", "tpl"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("tpl").alias("template"), "purity")

@@ -336,6 +336,12 @@ def test_url_nodes_keep_frequent_children_however_many(spark):
         assert got[i].template == ("/*" if section.startswith("once") else f"/{section}/*") and got[i].verdict == ("block" if section == "de" else "allow"), u
 
 
+def test_url_templates_without_labels_are_allowed(spark):
+    urls = [f"http://hot.net/en/{i}" for i in range(200)] + ["http://a.example.net/en/1"] + [f"http://clean.com/{s}/{i}" for s in ("en", "news") for i in range(20)]
+    got = url_filter.judge(url_filter.templates(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))).collect()
+    assert {(r.host, r.verdict) for r in got} == {("hot.net", "block"), ("a.example.net", "allow"), ("clean.com", "allow")}
+
+
 # ---------------------------------------------------------------- 5, 8: classifiers
 def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
