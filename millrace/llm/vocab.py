@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import re
 
 import numpy as np
 
@@ -114,11 +116,13 @@ def piece_units(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Encoder:
     """Encodes whole texts, unit by unit, and remembers units in an open-addressed table of their 64-bit hashes.
 
-    A hit must also have the unit's length and its first and last bytes.
+    A hit must also have the unit's length and its first and last bytes. ``added`` has tokens that the library takes out of the raw text before all else, with their ids;
+    what stands on their two sides is encoded apart. With them, ``units`` must drop white space.
     """
 
-    def __init__(self, tokenizer, kind: str, units):
-        self.tokenizer, self.kind, self.units = tokenizer, np.dtype(kind), units
+    def __init__(self, tokenizer, kind: str, units, added: dict[bytes, int] | None = None):
+        self.tokenizer, self.kind, self.units, self.added = tokenizer, np.dtype(kind), units, added or {}
+        self.pattern = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self.clear()
 
     def clear(self) -> None:
@@ -165,6 +169,19 @@ class Encoder:
 
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice, and where each document's begin (one more at the end)."""
+        data = body.tobytes() if self.added else b""
+        if not any(t in data for t in self.added):
+            return self._encode(body, offsets)
+        found = [m for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.pattern.finditer(data, a, b)]
+        hits = np.array([m.start() for m in found], np.int64)
+        body = body.copy()
+        body[ragged(hits, np.array([len(m[0]) for m in found], np.int64))] = 0x20
+        every = np.sort(np.concatenate((offsets, hits)))
+        ids, at = self._encode(body, every)
+        ids = np.insert(ids, at[np.searchsorted(every, hits)], np.array([self.added[m[0]] for m in found], self.kind))
+        return ids, at[np.searchsorted(every, offsets)] + np.searchsorted(hits, offsets)
+
+    def _encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         body, starts, ends = self.units(body, offsets)
         data, length = body.tobytes(), ends - starts
         h = word_hashes(body, starts, ends) | np.uint64(1)
@@ -199,13 +216,18 @@ class Encoder:
 
 @functools.lru_cache(4)
 def word_encoder(path: str, kind: str) -> Encoder:
-    """For a file of the tokenizers library whose pre-tokenizer drops white space; strings of special tokens are ordinary text."""
+    """For a file of the tokenizers library whose pre-tokenizer drops white space. Special tokens in a text are found before it is cut into units, as units could break or,
+    in lower case, make them; so the library is told that units hold none."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    if any(not t["special"] or t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens must be special ones that are matched in the raw text as they are")
     tokenizer.encode_special_tokens = True
-    return Encoder(tokenizer, kind, word_units)
+    return Encoder(tokenizer, kind, word_units, {t["content"].encode(): t["id"] for t in added})
 
 
 @functools.lru_cache(4)

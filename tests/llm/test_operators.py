@@ -65,6 +65,16 @@ def test_rans_round_trip(spark):
         at += len(ids) // 4
 
 
+def test_rans_added_tokens_are_the_librarys(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path(rans.VOCABULARY))
+    texts = ["a <|endoftext|> b", "A<|endoftext|>b", "<|startoftext|><|endoftext|>", "it<|endoftext|>'s é<|endoftext|>\u0301x", "don't<|ENDOFTEXT|>'s", "plain", "", "cut <|endo", "ftext|> here", "<<|endoftext|>>  <|startoftext|>", "東京<|startoftext|>é", LONG + "<|endoftext|>"]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in rans.tokenize(documents(spark, list(enumerate(texts))).coalesce(1)).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_rans_checkpoints_and_checksums():
     rng = np.random.default_rng(1)
     ids = (rng.zipf(1.3, 300_000) % 5000).astype(np.int64)
