@@ -12,6 +12,7 @@ from collections import Counter
 from email.utils import parsedate_to_datetime
 from itertools import cycle, islice
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions.registry import unit
@@ -232,18 +233,23 @@ def drp(data, consecutive=False, align=False, min=1, max=0, len=0, all=False, th
 builtins_max = max
 
 
-def key_of(data: bytes, sizes=range(1, 33), plain: bytes = b"", letters: bytes = b"\0 e", alph: bool = False) -> tuple[bytes, str, int]:
-    """(key, xor or add, offset) that explains the data best: by a known plaintext, else by the commonest byte of each column being a zero, a blank or an e."""
+def key_of(data: bytes, sizes=range(1, 33), plain: bytes = b"", letters: bytes = b"\0 e", alph: bool = False, where: slice | None = None) -> tuple[bytes, str, int]:
+    """(key, xor or add, offset) that explains the data best: by a known plaintext (at any offset, or one from ``where.start`` to ``where.stop``), else by the commonest byte of each column being a zero, a blank or an e."""
     tries = []
     for n in sizes:
         if n < 1 or n > max(1, len(data) // 2):
             continue
         if plain:
-            for kind in ("xor", "sub"):
-                for at in range(0, min(len(data) - len(plain), 4096) + 1):
-                    guess = bytes((c ^ p) if kind == "xor" else (c - p) & 255 for c, p in zip(data[at : at + len(plain)], plain, strict=False))
-                    if len(guess) >= n and all(guess[i] == guess[i % n] for i in range(len(guess))):
-                        k = guess[:n]
+            if n <= len(plain) <= len(data):
+                for kind in ("xor", "sub"):
+                    # a key of n bytes cancels out between bytes that are n apart
+                    one, two = (bytes(x[n:] ^ x[:-n] if kind == "xor" else x[n:] - x[:-n]) for x in (np.frombuffer(data, np.uint8), np.frombuffer(plain, np.uint8)))
+                    first, last = where.start if where and where.start else 0, len(data) - len(plain)
+                    if where and where.stop is not None:
+                        last = min(last, where.stop)
+                    at = one.find(two, first, last + len(two)) if first <= last else -1
+                    if at >= 0:
+                        k = bytes((c ^ p) if kind == "xor" else (c - p) & 255 for c, p in zip(data[at : at + n], plain, strict=False))
                         turn = -at % n
                         return k[turn:] + k[:turn], kind, at
             continue
@@ -273,7 +279,7 @@ def xkey(data, range=None, plaintext=None, searchpos=None, alph=False, crib=Fals
     """The key of a repeating XOR or ADD."""
     if data:
         sizes = builtins_range(range.start or 1, range.stop or 33) if range else builtins_range(1, 33)
-        key, kind, _ = key_of(data, sizes, plaintext or b"", alph=alph)
+        key, kind, _ = key_of(data, sizes, plaintext or b"", alph=alph, where=searchpos)
         yield key, {"method": kind}
 
 
@@ -285,7 +291,7 @@ def autoxor(data, range=None, plaintext=None, searchpos=None, alph=False, crib=F
     """The data without its repeating XOR or ADD."""
     if data:
         sizes = builtins_range(range.start or 1, range.stop or 33) if range else builtins_range(1, 33)
-        key, kind, _ = key_of(data, sizes, plaintext or b"", alph=alph)
+        key, kind, _ = key_of(data, sizes, plaintext or b"", alph=alph, where=searchpos)
         stream = islice(cycle(key), len(data))
         yield bytes((a ^ b) if kind == "xor" else (a - b) & 255 for a, b in zip(data, stream, strict=True)), {"key": key, "method": kind}
 

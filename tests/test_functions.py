@@ -100,5 +100,19 @@ def test_keys():
     assert UNITS["autoxor"].one(UNITS["xor"].one(text, argument=b"key")) == text
 
 
+def test_keys_by_plaintext_at_any_offset():
+    import random
+
+    crib = b"a known plaintext of more than 32 bytes stands far behind"
+    body = random.Random(3).randbytes(100_001)
+    data = body + crib + body
+    mixed = UNITS["xor"].one(data, argument=b"key")
+    assert UNITS["xkey"].one(mixed, plaintext=crib) == b"key" and UNITS["autoxor"].one(mixed, plaintext=crib) == data
+    added = bytes((c + k) & 255 for c, k in zip(data, b"key" * len(data), strict=False))
+    assert UNITS["autoxor"].one(added, plaintext=crib) == data
+    assert UNITS["xkey"].one(mixed, plaintext=crib, searchpos=slice(100_001, 100_001)) == b"key"
+    assert UNITS["xkey"].one(mixed, plaintext=crib, searchpos=slice(0, 100_000)) == b"\0" == UNITS["xkey"].one(mixed, plaintext=crib, searchpos=slice(100_002, None))
+
+
 def test_every_unit_is_described():
     assert all(u.text for u in UNITS.values()) and len(UNITS) > 230
