@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against all earlier documents.
+"""Substring dedup against all earlier documents, by a join on hashes of windows in place of relative Lempel-Ziv parsing.
 
 Documents are cut by content: in each run of ``window`` words the least hash of the runs of ``window // 2`` words in it is an anchor, so documents that share a window
 share its anchor. Anchors that two documents hold are the index of reference blocks; the text around them is where factors can begin. There the hash of each
