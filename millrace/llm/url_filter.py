@@ -2,7 +2,8 @@
 
 The tree has a node for each host and template of a path. It is made from the top down, a segment at a time, from counts: children
 of a node that are numbers, or are rare and hardly ever repeat, are one wildcard ``*``; of the others, however many, those with enough labelled urls whose share of blocked ones does not differ
-significantly from their siblings' are merged into one branch ``~``; the rest keep their segment. Segments beyond ``LEVELS`` are ``**``.
+significantly from their siblings' are merged into one branch ``~``; the rest keep their segment. It is as deep as the paths: levels are added
+until no row has a further segment. A node of fewer than ``FEW`` urls, or whose urls all end alike, can have neither wildcards by count nor branches, so the rest of its paths is added at once.
 Urls that a rule fits are the labelled ones. A template is rejected if its smoothed purity, the share of blocked urls among its own labelled ones drawn towards
 ``NEUTRAL``, reaches ``REJECT``. So one without labelled urls is never rejected for what other templates or hosts hold, and one whose labelled urls are all blocked needs eight.
 
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import source, stored
 
-LEVELS = 3
 #: A child with so many urls keeps its segment. A node's other children, if they have so many urls together and are more than half as many as these, are a wildcard.
 FEW = 8
 #: Labelled urls that a branch and its siblings each need before they can be merged, and the z value below which they are alike.
@@ -64,13 +64,17 @@ def ruled(rows: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
 
 
 def _grown(rows: DataFrame, level: int) -> DataFrame:
-    """The rows with ``tpl`` longer by the level's segment; rows without such a segment as they are."""
+    """Rows that have a segment of this level, with ``tpl`` longer by it, or by all further ones (``done``) where no level below can rename any."""
     node = ["host", "tpl"]
-    live = rows.filter(F.col("seg").isNotNull())
-    children = live.groupBy(*node, "seg").agg(F.count("*").alias("n"), F.count("judged").alias("lab"), F.count_if(F.col("judged") == "block").alias("blk"))
+    rows = rows.withColumn("seg", F.get("segs", F.lit(level)))
+    ends = F.xxhash64(F.slice("segs", level + 1, F.size("segs")))
+    children = rows.groupBy(*node, "seg").agg(F.count("*").alias("n"), F.count("judged").alias("lab"), F.count_if(F.col("judged") == "block").alias("blk"), F.min(ends).alias("lo"), F.max(ends).alias("hi"))
     children = stored(children, f"children{level}")
     rare = F.col("n") < FEW
-    nodes = children.groupBy(*node).agg(F.count_if(rare).alias("rare_kids"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare_rows"), F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
+    nodes = children.groupBy(*node).agg(
+        F.count_if(rare).alias("rare_kids"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare_rows"), F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"),
+        ((F.sum("n") < FEW) | (F.min("lo") == F.max("hi"))).alias("done"),
+    )
     wild = rare & (F.col("rare_rows") >= FEW) & (2 * F.col("rare_kids") > F.col("rare_rows"))
     rest_lab, rest_blk = F.col("all_lab") - F.col("lab"), F.col("all_blk") - F.col("blk")
     over = F.try_divide
@@ -79,23 +83,24 @@ def _grown(rows: DataFrame, level: int) -> DataFrame:
     apart = F.abs(over(F.col("blk"), F.col("lab")) - over(rest_blk, rest_lab))
     alike = F.coalesce((F.col("lab") >= LABELLED) & (rest_lab >= LABELLED) & (apart <= ALIKE * spread), F.lit(False))
     name = F.when(wild, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("seg"))
-    names = children.join(nodes, node).select(*node, "seg", name.alias("name"))
-    joined = rows.join(stored(names, f"names{level}"), [*node, "seg"], "left")
-    return joined.withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), "name"))).drop("name")
+    names = children.join(nodes, node).select(*node, "seg", name.alias("name"), "done")
+    more = F.when(F.col("done"), F.array_join(F.slice("segs", level + 1, F.size("segs")), "/")).otherwise(F.col("name"))
+    grown = rows.join(stored(names, f"names{level}"), [*node, "seg"]).withColumns({"tpl": F.concat("tpl", F.lit("/"), more), "done": F.col("done") | (F.size("segs") == level + 1)})
+    return stored(grown.drop("seg", "name"), f"templates{level}")
 
 
 def templates(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, judged, tpl: each url with its template."""
     host, path = parts(F.col(url_col).cast("string"))
     rows = ruled(pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")), rules)
-    rows = rows.withColumns({"segs": F.filter(F.split("path", "/"), lambda s: s != ""), "tpl": F.lit("")})
-    for level in range(LEVELS):
-        seg = F.get("segs", F.lit(level))
-        rows = _grown(rows.withColumn("seg", F.when(seg.rlike(VARIABLE), F.lit("*")).otherwise(seg)), level)
-        if level < LEVELS - 1:
-            rows = stored(rows, f"templates{level}")
-    deep = F.when(F.size("segs") > LEVELS, F.concat("tpl", F.lit("/**"))).otherwise(F.col("tpl"))
-    return stored(rows.select("page_id", "host", "path", "rule", "judged", deep.alias("tpl")), "templates")
+    segs = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    rows = rows.withColumns({"segs": segs, "tpl": F.lit(""), "done": F.size(segs) == 0})
+    rows = stored(rows, "paths")
+    level, made = 0, rows.filter("done")
+    while not (left := rows.filter("not done")).isEmpty():
+        rows = _grown(left.drop("done"), level)
+        level, made = level + 1, made.unionByName(rows.filter("done"))
+    return stored(made.select("page_id", "host", "path", "rule", "judged", "tpl"), "templates")
 
 
 def judge(made: DataFrame, reject: float = REJECT) -> DataFrame:

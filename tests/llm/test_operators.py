@@ -352,6 +352,15 @@ def test_url_templates_without_labels_are_allowed(spark):
     assert {(r.host, r.verdict) for r in got} == {("hot.net", "block"), ("a.example.net", "allow"), ("clean.com", "allow")}
 
 
+def test_url_templates_are_as_deep_as_paths(spark):
+    deep = "/".join("abcdefgh")
+    urls = [f"http://x.test/{deep}/{kind}/{i}/z" for kind in ("spam", "news") for i in range(20)] + ["http://one.test/a/b/c/d/7/e"] + ["http://same.test/a/b/c/d/e/f"] * 20
+    rules = (url_filter.UrlRule("x.test", f"/{deep}/spam/1", "block"),)
+    got = url_filter.judge(url_filter.templates(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)).collect()
+    assert len(got) == len(urls)
+    assert {(r.template, r.verdict) for r in got} == {(f"/{deep}/spam/*/z", "block"), (f"/{deep}/news/*/z", "allow"), ("/a/b/c/d/*/e", "allow"), ("/a/b/c/d/e/f", "allow")}
+
+
 # ---------------------------------------------------------------- 5, 8: classifiers
 def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
