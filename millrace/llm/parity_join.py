@@ -1,17 +1,27 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is XOR-hashed into a bit sketch: each shingle flips one bit, so sketches differ in at most as many bits as the sets
-in shingles. Sets are banded by size. In a band, two sets that reach the similarity differ in at most d shingles; their sketches have m > d blocks, so
-at least m - d blocks hold the same shingles. Blocks are put in one order that their contents fix, those with most rare shingles first, and each set is filed under its
-first d + 1: then two such sets meet under at least one block (the pigeonhole). Which shingles are common is learnt from a bounded sample of documents; it
-changes only how many sets meet in vain.
-
-Meeting sets become candidate links to the least document filed there, first within a batch and then within a bucket of keys, so that a key that a third of all
-documents share costs a row a batch and makes no pairs of all. A candidate is dropped if a sketch of the whole set already shows too many differences, and the rest are
-verified exactly on the texts. Where the documents under a key do not end in one component, those from different components are compared by sketch too, and verified, so no link that matters
-to a component is lost.
-
-Texts without words have no shingles and no links. A null doc_id has no links, and its own component is null. Rows of one doc_id are one document that has the links of each. Other columns are not read.
+A document's set of word shingles is XOR-hashed into a bit sketch: each shingle flips the bit of its hash. So sketches differ in at most as many bits as the sets in
+shingles, whatever the length of the sketch. Sets are banded by size; in a band, two sets that reach the similarity differ in at most d shingles. Two sketches serve a band:
+
+* A sketch of 2 ** 64 bits, cut into m > d blocks, finds the pairs. At most d blocks of two similar sets differ, so at least m - d are the same (the pigeonhole). Blocks are put in one
+  order that their contents fix, those with most rare shingles first, and each set is filed under its first d + 1: two similar sets meet under at least one. Few bits of a block are
+  set, so a block is known by the exclusive or of a random word for each set bit, which is 64 parities of random halves of its bits: equal blocks have equal words. Which
+  shingles are common is learnt from a bounded sample of documents; it changes only how many sets meet in vain.
+* A sketch of some 16 d bits (a power of two; a longer one is folded by XOR where bands meet) is carried to the keys. Pairs whose sketches or sizes differ by too much are dropped
+  without their texts.
+
+Equal sets are one: the least document stands for them. A key that documents share counts a row a batch before it is dealt out. Then, in three turns, only keys whose documents are
+not in one component yet are looked at, and of keys with the same documents only one:
+
+1. keys of more than ``TILE`` documents: each document with the least one there, so a key that a third of all documents share makes no more pairs than documents;
+2. of all pairs that sizes and sketches allow, a spanning forest under each key, nearest pairs first;
+3. all pairs of different components that are left, which is exact, as the others have been tested or join what is joined.
+
+Pairs are verified on the texts between turns. A key of more than ``TILE`` documents is cut into chunks, those of its largest component apart, and each two chunks that hold
+different components are a task's share.
+
+Texts without words have no shingles and no links; an empty table has no rows. A null doc_id has no links, and its own component is null. Rows of one doc_id are one document that has the links
+of each. Texts are read whole, however long. Similarity that just reaches the limit is a link. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,21 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
-from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, raw, run_hashes, source, stored, text_slices, tuned, word_hashes, words
+from millrace.llm.components import components, least_labels
+from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, ragged, raw, run_hashes, source, stored, text_slices, tuned, word_hashes, words
 
-#: Bits of the sketch of a whole set.
-SKETCH_BITS = 2048
 #: Keys in a bucket, about, and bits of a key beside its bucket: so few keys of a bucket agree by chance, however many buckets there are.
 BUCKET_KEYS, KEY_BITS = 1 << 19, 40
 #: Documents from which common shingles are learnt, about, and how many of the commonest count as such at most.
 SAMPLE, COMMON = 5000, 1 << 17
 #: Ids (of 8 bytes) that may be broadcast.
 BROADCAST_IDS = 1 << 20
-#: Turns in which documents are compared with their nearest under one key in so many, before all that are still apart are.
-NEAREST_TURNS, KEY_SHARE = 2, 8
+#: Documents of a key that are compared at once; a key of more is cut into chunks.
+TILE = 512
+#: Rows of chunks in a bucket, about.
+BUCKET_ROWS = 1 << 15
 #: Bytes of sketches that are compared at once.
-COMPARE_BYTES = 1 << 25
+COMPARE_BYTES = 1 << 24
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -83,6 +93,11 @@ class Rule:
                 out.append((band, d, d + 1 if d < 4 else -(-5 * (d + 1) // 4)))
         return out
 
+    def sketch_bits(self, n: int, edges: np.ndarray) -> int:
+        """Bits of the sketch of a set of n in its band: a power of two, 16 or more for each shingle that may differ."""
+        d = (self.den - self.num) * (int(edges[int(np.searchsorted(edges, n, side="right"))]) - 1) // self.num
+        return max(512, 1 << (16 * d - 1).bit_length()) if d else 512
+
     def most(self, sizes):
         """How much two similar sets of such sizes together may differ at most."""
         return sizes * (self.den - self.num) // (self.den + self.num)
@@ -107,48 +122,43 @@ def block_keys(s: np.ndarray, rare: np.ndarray, band: int, d: int, blocks: int)
     return np.concatenate((keys, np.sort(mix(mix(rest + salt)))[: d + 1 - len(keys)]))
 
 
-def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, n_keys, digest (of the set), sketch, sample (the set, of a bounded sample of documents): a row for each document."""
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles that several documents of a sample hold, the ``COMMON`` most frequent at most."""
     share = int(min(1.0, SAMPLE / max(docs.count(), 1)) * (1 << 30))
-    docs = docs.withColumn("sampled", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
     def run(batches):
-        edges = rule.bands()
         for batch in batches:
-            rows = []
-            sampled = batch.column(2).to_pylist()
-            for i, s in enumerate(shingle_sets(batch.column(1), rule.k)):
-                n_keys = sum(d + 1 for _, d, _ in rule.instances(len(s), edges)) if len(s) else 0
-                bits = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                rows.append((len(s), n_keys, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.packbits(bits.astype(bool)).tobytes(), s.tobytes() if sampled[i] else b""))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n", "n_keys", "digest", "sketch", "sample"])
+            for s in shingle_sets(batch.column(0), k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view("<i8"))], ["s"])
 
-    return docs.select("doc_id", "text", "sampled").mapInArrow(run, "doc_id long, n long, n_keys long, digest binary, sketch binary, sample binary")
+    sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    held = sampled.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    return np.sort(held.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def common_shingles(known: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that several documents of the sample hold, the ``COMMON`` most frequent at most."""
+def profiles(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
+    """doc_id, n (shingles), digest (of the set), sketch, keys (64-bit): a row for each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        edges, usual = rule.bands(), shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(raw(batch.column(0))[0].view("<i8"))], ["s"])
-
-    held = known.filter(F.length("sample") > 0).select("sample").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    return np.sort(held.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64))
-
-
-def _filed(column: pa.Array, rule: Rule, edges: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a batch's texts and the row of each."""
-    keys, sizes = [np.zeros(0, np.uint64)], []
-    for s in shingle_sets(column, rule.k):
-        at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
-        rare = (common[at] != s).astype(np.int64) if len(common) else np.ones(len(s), np.int64)
-        own = [block_keys(s, rare, *x) for x in rule.instances(len(s), edges)] if len(s) else []
-        keys += own
-        sizes.append(sum(map(len, own)))
-    return np.concatenate(keys), np.repeat(np.arange(len(sizes)), sizes)
+            rows = []
+            for s in shingle_sets(batch.column(1), rule.k):
+                if not len(s):
+                    rows.append((0, b"", b"", b""))
+                    continue
+                at = np.minimum(np.searchsorted(usual, s), max(len(usual) - 1, 0))
+                rare = (usual[at] != s).astype(np.int64) if len(usual) else np.ones(len(s), np.int64)
+                keys = np.concatenate([block_keys(s, rare, *x) for x in rule.instances(len(s), edges)])
+                bits = rule.sketch_bits(len(s), edges)
+                sketch = np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch.tobytes(), keys.astype("<u8").tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n", "digest", "sketch", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, keys binary")
 
 
 def _groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,106 +169,144 @@ def _groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of different documents, the lesser first, and how often each comes."""
-    both = np.stack((np.minimum(a, b), np.maximum(a, b)), 1)[a != b]
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    both = both[order]
-    new = np.concatenate(([True], (both[1:] != both[:-1]).any(1))) if len(both) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return both[at, 0], both[at, 1], np.diff(np.append(at, len(both)))
-
-
-def stars(docs: DataFrame, rule: Rule, buckets: int, common: np.ndarray) -> DataFrame:
-    """kind, a, b, n. Kind 0: candidate links between a document and the least one that is filed under the same key, and under how many keys.
-    Kind 1: key a has document b, for keys of three documents or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    names = ["bucket", "kind", "x", "y", "z", "w"]
+def members(filed: DataFrame, buckets: int) -> DataFrame:
+    """key, doc_id: of the keys under which several documents are filed. Takes doc_id, keys. A key's documents of one batch beside the first need no bucket, as they know that it has several."""
 
     def cut_by(bucket):
         return np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
 
-    def plain(kind, bucket, columns):
-        order = np.argsort(bucket, kind="stable")
-        cut = cut_by(bucket := bucket[order])
-        cells = [[c[order][i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
-        cells += [[b""] * (len(cut) - 1)] * (4 - len(columns))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([kind] * (len(cut) - 1), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names)
-
     def packed(keys, ids, many):
-        """A row for each bucket: 40 bits of each key, places in a list of documents, the list, and numbers of documents (3 is three or more)."""
-        order = np.lexsort((ids, keys >> KEY_BITS))
-        keys, ids, many = keys[order], ids[order], np.minimum(many[order], 3).astype(np.uint8)
+        """A row for each bucket: 40 bits of each key, places in a list of documents, the list, and whether the batch has several."""
         bucket = keys >> KEY_BITS
         cut, cells = cut_by(bucket), []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             own, at = np.unique(ids[i:j], return_inverse=True)
             k = keys[i:j]
-            cells.append((k.astype("<u4").tobytes() + (k >> 32).astype(np.uint8).tobytes(), at.astype("<u4").tobytes(), own.astype("<i8").tobytes(), many[i:j].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([0] * len(cells), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], names)
-
-    def unpacked(rows, bucket):
-        out = []
-        for x, y, z, w in zip(*(rows[c].to_pylist() for c in "xyzw"), strict=True):
-            n = len(w)
-            low, high = np.frombuffer(x, "<u4", n), np.frombuffer(x, np.uint8, n, 4 * n)
-            out.append((low.astype(np.int64) | high.astype(np.int64) << 32 | bucket << KEY_BITS, np.frombuffer(z, "<i8")[np.frombuffer(y, "<u4")], np.frombuffer(w, np.uint8).astype(np.int64)))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            cells.append((k.astype("<u4").tobytes() + (k >> 32).astype(np.uint8).tobytes(), at.astype("<u4").tobytes(), own.astype("<i8").tobytes(), many[i:j].astype(np.uint8).tobytes()))
+        return bucket[cut[:-1]], cells
 
     def local(batches):
-        edges = rule.bands()
         for batch in batches:
-            keys, at = _filed(batch.column(1), rule, edges, shared.value)
+            body, at = raw(batch.column(1))
+            keys, ids = body.view("<u8"), np.repeat(longs(batch.column(0)), np.diff(at) // 8)
             if not len(keys):
                 continue
             keys = ((keys % np.uint64(buckets)) << np.uint64(KEY_BITS) | (keys // np.uint64(buckets)) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
-            order, first = _groups(keys, ids := longs(batch.column(0))[at])
+            order, first = _groups(keys, ids)
             keys, ids = keys[order], ids[order]
-            a, b, n = _pairs(ids[first], ids)
-            if len(b):
-                yield plain(1, b % buckets, (a, b, n))
             lead = first == np.arange(len(first))
+            bucket, cells = packed(keys[lead], ids[lead], np.diff(np.append(np.flatnonzero(lead), len(first))) > 1)
             if not lead.all():
-                yield plain(2, ids[~lead] % buckets, (keys[~lead], ids[~lead]))
-            yield packed(keys[lead], ids[lead], np.diff(np.append(np.flatnonzero(lead), len(first))))
+                where = ids[~lead] % buckets
+                order = np.argsort(where, kind="stable")
+                where, k, d = where[order], keys[~lead][order], ids[~lead][order]
+                cut = cut_by(where)
+                bucket = np.concatenate((bucket, where[cut[:-1]]))
+                cells += [(k[i:j].tobytes(), b"", d[i:j].tobytes(), None) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], ["bucket", "x", "y", "z", "w"])
 
     def meet(group: pa.Table) -> pa.Table:
-        kind = group["kind"].to_numpy()
-        filed, linked, held = (group.filter(pa.array(kind == k)) for k in range(3))
-        keys, ids, many = unpacked(filed, group["bucket"][0].as_py())
-        order, first = _groups(keys, ids)
-        keys, ids, many = keys[order], ids[order], many[order]
-        a, b, n = _pairs(ids[first], ids)
-        links = [np.concatenate((x, raw(linked[c])[0].view("<i8"))) for x, c in ((a, "x"), (b, "y"), (n, "z"))]
-        big = np.bincount(first, many, minlength=len(first))[first] >= 3 if len(first) else np.zeros(0, bool)
-        members = [np.concatenate((x[big], raw(held[c])[0].view("<i8"))) for x, c in ((keys, "x"), (ids, "y"))]
-        kinds = np.repeat(np.array([0, 1], np.int32), [len(links[0]), len(members[0])])
-        return pa.table([kinds, *(np.concatenate(c) for c in zip(links, [*members, np.ones(len(members[0]), np.int64)], strict=True))], names=["kind", "a", "b", "n"])
-
-    filed = docs.mapInArrow(local, "bucket long, kind int, x binary, y binary, z binary, w binary")
-    return filed.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, n long")
-
-
-def screened(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs a, b (with their other columns) that sizes and sketches allow, and same: whether the sets are equal."""
-    side = lambda p, *columns: known.select(F.col("doc_id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in columns])
-
-    def run(batches):
-        for batch in batches:
-            get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            n_a, n_b = longs(get["n_a"]), longs(get["n_b"])
-            x, y = (raw(get[c])[0].view("<u8").reshape(-1, SKETCH_BITS // 64) for c in ("sketch_a", "sketch_b"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = (apart <= rule.most(n_a + n_b)) & (n_a > 0) & (n_b > 0)
-            same = (raw(get["digest_a"])[0].view("<u8").reshape(-1, 2) == raw(get["digest_b"])[0].view("<u8").reshape(-1, 2)).all(1)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([get["a"].filter(keep), get["b"].filter(keep), get["n"].filter(keep), pa.array(same).filter(keep)], ["a", "b", "n", "same"])
+        bucket, out, held = group["bucket"][0].as_py(), [], [(np.zeros(0, np.int64),) * 2]
+        for x, y, z, w in zip(*(group[c].to_pylist() for c in "xyzw"), strict=True):
+            if w is None:
+                held.append((np.frombuffer(x, "<i8"), np.frombuffer(z, "<i8")))
+                continue
+            n = len(w)
+            low, high = np.frombuffer(x, "<u4", n), np.frombuffer(x, np.uint8, n, 4 * n)
+            out.append((low.astype(np.int64) | high.astype(np.int64) << 32 | bucket << KEY_BITS, np.frombuffer(z, "<i8")[np.frombuffer(y, "<u4")], np.frombuffer(w, np.uint8)))
+        if out:
+            keys, ids, many = (np.concatenate(c) for c in zip(*out, strict=True))
+            order, first = _groups(keys, ids)
+            keys, ids, many = keys[order], ids[order], many[order]
+            several = np.bincount(first, 1 + many.astype(np.int64), minlength=len(first))[first] > 1
+            held.append((keys[several], ids[several]))
+        return pa.table([np.concatenate(c) for c in zip(*held, strict=True)], names=["key", "doc_id"])
+
+    return filed.mapInArrow(local, "bucket long, x binary, y binary, z binary, w binary").groupBy("bucket").applyInArrow(meet, "key long, doc_id long")
+
+
+def fold(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of rows, folded to ``size`` bytes, as 64-bit words."""
+    body, at = raw(column)
+    lengths = np.diff(at)[rows]
+    out = np.empty((len(rows), size), np.uint8)
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        cells = body[ragged(at[rows[own]], np.full(len(own), length))].reshape(len(own), length // size, size)
+        out[own] = np.bitwise_xor.reduce(cells, axis=1)
+    return out.view("<u8")
+
+
+def forest(label: np.ndarray, one: np.ndarray, two: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links one - two that join the labels of all nodes, lightest first, without a cycle."""
+    chosen = []
+    names, label = np.unique(label, return_inverse=True)
+    order = np.lexsort((two, one, weight))
+    u, v = label[one[order]], label[two[order]]
+    parent = np.arange(len(names))
+    live = np.arange(len(order))
+    while True:
+        a, b = parent[u[live]], parent[v[live]]
+        live = live[a != b]
+        if not len(live):
+            return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+        a, b = a[a != b], b[a != b]
+        best = np.full(len(names), len(order))
+        np.minimum.at(best, a, live)
+        np.minimum.at(best, b, live)
+        take = np.unique(best[best < len(order)])
+        chosen.append(take)
+        parent = least_labels(len(names), parent[u[take]], parent[v[take]])[parent]
+
+
+def compared(rows: DataFrame, rule: Rule, buckets: int, spanning: bool) -> DataFrame:
+    """a, b: pairs of documents of different roots under a key that sizes and sketches allow; if ``spanning``, only a forest of them.
+
+    Takes key, x, y, c, doc_id, root, n, sketch: a row is of chunk c, in the tile of chunks x and y of a key. A row of one chunk meets those of the other.
+    """
 
-    # sizes first: they leave fewer pairs to carry sketches
-    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter(rule.den * F.least("n_a", "n_b") >= rule.num * F.greatest("n_a", "n_b"))
-    joined = sized.join(side("a", "digest", "sketch"), "a").join(side("b", "digest", "sketch"), "b")
-    return joined.select("a", "b", "n", "n_a", "digest_a", "sketch_a", "n_b", "digest_b", "sketch_b").mapInArrow(run, "a long, b long, n long, same boolean")
+    def run(group: pa.Table) -> pa.Table:
+        key, x, y, c, ids, roots, sizes = (longs(group[name].combine_chunks()) for name in ("key", "x", "y", "c", "doc_id", "root", "n"))
+        order = np.lexsort((ids, c, y, x, key))
+        key, x, y, c, ids, roots, sizes = (v[order] for v in (key, x, y, c, ids, roots, sizes))
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        ends = np.append(new[1:], len(key))
+        tile = np.repeat(np.arange(len(new)), ends - new)
+        # where the other documents that each row meets begin and end: those after it in its own chunk, or all of the second chunk
+        later = np.searchsorted(tile * 2 + ((c == y) & (x != y)), tile * 2 + 1)
+        start = np.where(x == y, np.arange(len(key)) + 1, later)
+        count = np.where((x == y) | (c == x), ends[tile] - start, 0)
+        width = np.minimum.reduceat(np.diff(raw(group["sketch"])[1])[order], new)[tile]
+        found = [(np.zeros(0, np.int64),) * 3]
+        for size in np.unique(width).tolist():
+            own = np.flatnonzero(width == size)
+            sketches, place = fold(group["sketch"], order[own], size), np.zeros(len(key), np.int64)
+            place[own] = np.arange(len(own))
+            own = own[count[own] > 0]
+            upto = np.cumsum(count[own])
+            i = 0
+            while i < len(own):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + COMPARE_BYTES // size)))
+                one, two = np.repeat(own[i:j], count[own[i:j]]), ragged(start[own[i:j]], count[own[i:j]])
+                i = j
+                ok = (roots[one] != roots[two]) & (rule.den * np.minimum(sizes[one], sizes[two]) >= rule.num * np.maximum(sizes[one], sizes[two]))
+                one, two = one[ok], two[ok]
+                apart = np.bitwise_count(sketches[place[one]] ^ sketches[place[two]]).sum(1, dtype=np.int64)
+                ok = apart <= rule.most(sizes[one] + sizes[two])
+                found.append((one[ok], two[ok], apart[ok]))
+        one, two, apart = (np.concatenate(v) for v in zip(*found, strict=True))
+        if spanning and len(one):
+            tops, of = np.unique(roots, return_inverse=True)
+            keep = forest(tile * len(tops) + of, one, two, apart)
+            one, two = one[keep], two[keep]
+        a, b = np.minimum(ids[one], ids[two]), np.maximum(ids[one], ids[two])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        return pa.table([a[new], b[new]], names=["a", "b"])
+
+    bucket = F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets)).alias("bucket")
+    return rows.select(bucket, "key", "x", "y", "c", "doc_id", "root", "n", "sketch").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -266,77 +314,80 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for s, t in zip(shingle_sets(batch.column(2), rule.k), shingle_sets(batch.column(3), rule.k), strict=True):
-                both = np.concatenate((s, t))
+            keep, last, known = [], None, None
+            for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), shingle_sets(batch.column(3), rule.k), strict=True):
+                text = s.as_py()
+                if last != (a, text):
+                    last, known = (a, text), next(shingle_sets(pa.array([text]), rule.k))
+                both = np.concatenate((known, t))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared > 0 and rule.den * shared >= rule.num * (len(s) + len(t) - shared))
+                keep.append(shared > 0 and rule.den * shared >= rule.num * (len(known) + len(t) - shared))
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
     side = lambda p: texts.select(F.col("doc_id").alias(p), F.col("text").alias(f"text_{p}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
-def _labelled(frame: DataFrame, roots: DataFrame, column: str) -> DataFrame:
-    """Adds root_<column>: the component of the document in a column."""
-    side = roots.select(F.col("u").alias(column), F.col("v").alias(f"root_{column}"))
-    return frame.join(side, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
+def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds root: the component of doc_id so far."""
+    side = roots.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    return frame.join(side, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
 
-def unmet(held: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, rule: Rule, buckets: int, turn: int | None) -> DataFrame:
-    """a, b: pairs of documents under a key (of ``held``: key, doc_id) from different components that sizes and sketches allow, without those tested. Keys of one component are left out first.
+def mixed(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, doc_id, root, and of the key: g (documents), low (the least of them), major (a root that most have), n_major. Only of keys with several roots, and one of those with the same documents."""
+    rows = _rooted(held, roots)
+    part = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), *[F.sum(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << 31))).alias(f"x{i}") for i in range(4)])
+    keys = part.groupBy("key").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("g"), F.min("low").alias("low"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(4)]
+    )
+    columns = ["key", "low", "major", "n_major"]
+    once = keys.filter("roots > 1").groupBy("g", "x0", "x1", "x2", "x3").agg(F.min(F.struct(*columns)).alias("k")).select("g", "k.*")
+    return rows.join(stored(once, "keys"), "key")
 
-    A numbered turn takes one key in ``KEY_SHARE``, other ones each turn. In the first ``NEAREST_TURNS``, a document is only paired with the one before it whose sketch is nearest, so a group gives hardly more pairs than it has documents.
-    """
-    if turn is not None:
-        held = held.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(KEY_SHARE)) == 0)
-    labelled = _labelled(held, roots, "doc_id")
-    mixed = labelled.groupBy("key").agg(F.min("root_doc_id").alias("x"), F.max("root_doc_id").alias("y")).filter("x <> y").select("key")
-    left = labelled.join(stored(mixed, "mixed"), "key").join(known.select("doc_id", "n", "sketch"), "doc_id")
-    left = left.join(tested.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list("a").alias("done")), "doc_id", "left")
-
-    def compare(group: pa.Table) -> pa.Table:
-        keys, ids, tops, sizes = (longs(group[c].combine_chunks()) for c in ("key", "doc_id", "root_doc_id", "n"))
-        sketches = raw(group["sketch"])[0].view("<u8").reshape(-1, SKETCH_BITS // 64)
-        order, first = _groups(keys, ids)
-        ids, tops, sizes, sketches = ids[order], tops[order], sizes[order], sketches[order]
-        cut = np.append(np.flatnonzero(first == np.arange(len(first))), len(first))
-        own, once = np.unique(longs(group["doc_id"].combine_chunks()), return_index=True)
-        done = np.array([(a, b) for b, others in zip(own.tolist(), group["done"].take(pa.array(once)).to_pylist(), strict=True) for a in others or ()], np.int64).reshape(-1, 2)
-        done = np.unique(done, axis=0).view("V16").ravel()
-        found = [np.zeros((0, 2), np.int64)]
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            step = max(1, COMPARE_BYTES // ((y - x) * SKETCH_BITS // 8))
-            for i in range(x, y, step):
-                j = min(i + step, y)
-                near = (tops[i:j, None] != tops[None, x:y]) & (ids[i:j, None] > ids[None, x:y]) & (rule.den * np.minimum(sizes[i:j, None], sizes[None, x:y]) >= rule.num * np.maximum(sizes[i:j, None], sizes[None, x:y]))
-                one, two = np.nonzero(near)
-                apart = np.bitwise_count(sketches[one + i] ^ sketches[two + x]).sum(1, dtype=np.int64)
-                ok = apart <= rule.most(sizes[one + i] + sizes[two + x])
-                one, two, apart = one[ok], two[ok], apart[ok]
-                new = ~np.isin(np.ascontiguousarray(np.stack((ids[two + x], ids[one + i]), 1)).view("V16").ravel(), done) if len(done) and len(one) else np.ones(len(one), bool)
-                one, two, apart = one[new], two[new], apart[new]
-                if turn is not None and turn < NEAREST_TURNS and len(one):
-                    order = np.lexsort((apart, one))
-                    one, two = one[order], two[order]
-                    pick = np.concatenate(([True], one[1:] != one[:-1]))
-                    one, two = one[pick], two[pick]
-                found.append(np.stack((ids[two + x], ids[one + i]), 1))
-        a, b, _ = _pairs(*np.concatenate(found).T)
-        return pa.table([a, b], names=["a", "b"])
-
-    bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
-    return left.select(bucket, "key", "doc_id", "root_doc_id", "n", "sketch", "done").groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+
+def _pairs(rows: DataFrame, real: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
+    """The pairs of the tiles of rows with key, doc_id, root, c and tiles (x, y)."""
+    spread = rows.join(real.select("doc_id", "n", "sketch"), "doc_id").select("*", F.explode("tiles").alias("t")).select("*", "t.*")
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("tiles"))).first()[0] or 0) // BUCKET_ROWS))
+    return stored(compared(spread, rule, buckets, spanning), "pairs")
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """Tiles in which the least document of a hot key meets all others."""
+    rows = rows.filter(F.col("g") > TILE)
+    chunks = F.ceil(F.col("g") / TILE)
+    c = F.when(F.col("doc_id") == F.col("low"), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "key"), chunks)).cast("long")
+    tiles = F.when(F.col("doc_id") == F.col("low"), F.sequence(F.lit(1), chunks)).otherwise(F.array(c.cast("long")))
+    return rows.withColumns({"c": c, "tiles": F.transform(tiles, lambda j: F.struct(F.lit(0).cast("long").alias("x"), j.cast("long").alias("y")))})
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Tiles in which all documents of different roots of a key meet. Chunks of the largest root come last and do not meet each other."""
+    hot, own = F.col("g") > TILE, F.col("root") == F.col("major")
+    others = F.when(hot, F.ceil((F.col("g") - F.col("n_major")) / TILE)).otherwise(1)
+    every = F.when(hot, others + F.ceil(F.col("n_major") / TILE)).otherwise(1)
+    mark = F.xxhash64("doc_id", "key")
+    c = F.when(hot & own, others + F.pmod(mark, every - others)).otherwise(F.pmod(mark, others)).cast("long")
+    meets = F.sequence(F.lit(0).cast("long"), (F.when(hot & own, others).otherwise(every) - 1).cast("long"))
+    return rows.withColumn("c", c).withColumn("tiles", F.transform(meets, lambda j: F.struct(F.least(F.col("c"), j).alias("x"), F.greatest(F.col("c"), j).alias("y"))))
 
 
 def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts of all documents of the pairs. Up to ``BROADCAST_IDS`` ids are broadcast, so that no other text moves; more are joined by a shuffle."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = stored(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
-    return stored(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _unsettled(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """The rows of keys that hold both documents of a pair that failed."""
+    by = rows.select("key", "doc_id")
+    ends = by.join(failed.withColumnRenamed("a", "doc_id"), "doc_id").select("key", F.col("b").alias("doc_id")).distinct()
+    return rows.join(ends.join(by, ["key", "doc_id"]).select("key").distinct(), "key", "left_semi")
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,36 +395,33 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     rule = Rule(k, num, den)
     spark = tuned(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = stored(profiles(texts, rule), "profiles")
+    known = stored(profiles(texts, rule, common_shingles(texts, k)), "profiles")
     real = known.filter("doc_id is not null and n > 0")
-    total = real.agg(F.sum("n_keys")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KEYS))
-    met = stored(stars(texts.filter("doc_id is not null and text is not null"), rule, buckets, common_shingles(known)), "stars")
-    star = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    allowed = stored(screened(star, real, rule), "candidates")
-    sure = allowed.filter("same").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    open_ = allowed.filter("not same")
-    able = texts.filter("doc_id is not null")
-    near = _texts_of(able, open_)
-    # the likeliest candidate of each document first: it settles most of them
-    first = stored(open_.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), "first")
-    roots = components(sure.unionByName(verified(first, near, rule)))
-    rest = open_.join(first, ["a", "b"], "left_anti")
-    rest = stored(_labelled(_labelled(rest, roots, "a"), roots, "b").filter("root_a <> root_b").select("a", "b"), "rest")
-    if not rest.isEmpty():
-        roots = components(roots.unionByName(verified(rest, near, rule)))
-    held = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"))
-    tested = open_.select("a", "b")
-    for turn in [*range(NEAREST_TURNS + 1), None]:
-        # nearest pairs first, as they join most components, then all under some keys, then all that are left
-        more = unmet(held, roots, real, tested, rule, buckets, turn)
-        more = stored(more.join(tested, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            tested = tested.unionByName(more)
-            links = stored(verified(more, _texts_of(able, more), rule), "links")
-            if not links.isEmpty():
-                roots = components(roots.unionByName(links))
-    return _labelled(known, roots, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("root_doc_id").alias("component_id"))
+    copies = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep <> last").select("digest", "rep")
+    copies = stored(copies, "copies")
+    links = real.select("digest", "doc_id").join(copies, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = components(links)
+    real = real.join(copies, "digest", "left").filter("rep is null or rep = doc_id")
+    total = known.agg(F.sum(F.length("keys"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8 // BUCKET_KEYS))
+    rows = stored(mixed(stored(members(real.select("doc_id", "keys"), buckets), "members"), roots), "mixed")
+    able, tested = texts.filter("doc_id is not null"), None
+    for tiles, spanning in ((_around, False), (_tiled, True), (_tiled, False)):
+        part = tiles(rows)
+        if part.isEmpty():
+            continue
+        pairs = _pairs(part, real, rule, spanning)
+        if tested is not None:
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = stored(verified(pairs, _texts_of(able, pairs), rule).distinct(), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = components(roots.unionByName(found))
+        if spanning:
+            rows = _unsettled(rows, pairs.join(found.toDF("a", "b"), ["a", "b"], "left_anti"))
+        rows = stored(mixed(rows.select("key", "doc_id"), roots), "mixed")
+    return _rooted(known, roots).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
