@@ -44,13 +44,13 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """u, v: each node that has a link to another (but the least of its component), and the least one. Takes links u, v in any direction, repeated ones and loops too.
 
-    The least neighbours are written before they are joined back, so both sides of that join are plain exchanges, whose hot keys Spark can split.
+    ``rows`` bounds the number of links, where that is known. The least neighbours are written before they are joined back, so both sides of that join are plain exchanges, whose hot keys Spark can split.
     """
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    links = stored(links, "links")
+    links = stored(links, "links", rows)
     known = _print(links)
     if known[0] <= FEW:
         return stored(links.coalesce(1).mapInArrow(_joined, "u long, v long"), "joined")

@@ -41,8 +41,8 @@ from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, ragged, raw, run_h
 BUCKET_KEYS, KEY_BITS = 1 << 19, 40
 #: Documents from which common shingles are learnt, about, and how many of the commonest count as such at most.
 SAMPLE, COMMON = 5000, 1 << 17
-#: Ids (of 8 bytes) that may be broadcast.
-BROADCAST_IDS = 1 << 20
+#: Ids (of 8 bytes), or ids and their components, that may be broadcast.
+BROADCAST_IDS = 1 << 18
 #: Documents of a key that are compared at once; a key of more is cut into chunks.
 TILE = 512
 #: Rows of chunks in a bucket, about.
@@ -333,26 +333,28 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds root: the component of doc_id so far."""
     side = roots.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    side = F.broadcast(side) if roots.count() <= BROADCAST_IDS else side
     return frame.join(side, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
 
 def mixed(held: DataFrame, roots: DataFrame) -> DataFrame:
     """key, doc_id, root, and of the key: g (documents), low (the least of them), major (a root that most have), n_major. Only of keys with several roots, and one of those with the same documents."""
-    rows = _rooted(held, roots)
+    rows, many = _rooted(held, roots), held.count()
     part = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), *[F.sum(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << 31))).alias(f"x{i}") for i in range(4)])
     keys = part.groupBy("key").agg(
         F.count("*").alias("roots"), F.sum("n").alias("g"), F.min("low").alias("low"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(4)]
     )
     columns = ["key", "low", "major", "n_major"]
     once = keys.filter("roots > 1").groupBy("g", "x0", "x1", "x2", "x3").agg(F.min(F.struct(*columns)).alias("k")).select("g", "k.*")
-    return rows.join(stored(once, "keys"), "key")
+    return stored(rows.join(stored(once, "keys", many), "key"), "mixed")
 
 
 def _pairs(rows: DataFrame, real: DataFrame, rule: Rule, spanning: bool) -> DataFrame:
     """The pairs of the tiles of rows with key, doc_id, root, c and tiles (x, y)."""
+    many = rows.agg(F.sum(F.size("tiles"))).first()[0] or 0
     spread = rows.join(real.select("doc_id", "n", "sketch"), "doc_id").select("*", F.explode("tiles").alias("t")).select("*", "t.*")
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("tiles"))).first()[0] or 0) // BUCKET_ROWS))
-    return stored(compared(spread, rule, buckets, spanning), "pairs")
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BUCKET_ROWS))
+    return stored(compared(spread, rule, buckets, spanning), "pairs", many)
 
 
 def _around(rows: DataFrame) -> DataFrame:
@@ -378,7 +380,7 @@ def _tiled(rows: DataFrame) -> DataFrame:
 def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts of all documents of the pairs. Up to ``BROADCAST_IDS`` ids are broadcast, so that no other text moves; more are joined by a shuffle."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = stored(ids, "ids")
+    ids = stored(ids, "ids", 2 * pairs.count())
     few = ids.count() <= BROADCAST_IDS
     return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -396,15 +398,15 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     spark = tuned(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = stored(profiles(texts, rule, common_shingles(texts, k)), "profiles")
+    n, total = known.agg(F.count("*"), F.sum(F.length("keys"))).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // 8 // BUCKET_KEYS))
     real = known.filter("doc_id is not null and n > 0")
     copies = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep <> last").select("digest", "rep")
-    copies = stored(copies, "copies")
+    copies = stored(copies, "copies", n)
     links = real.select("digest", "doc_id").join(copies, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    roots = components(links)
+    roots = components(links, n)
     real = real.join(copies, "digest", "left").filter("rep is null or rep = doc_id")
-    total = known.agg(F.sum(F.length("keys"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8 // BUCKET_KEYS))
-    rows = stored(mixed(stored(members(real.select("doc_id", "keys"), buckets), "members"), roots), "mixed")
+    rows = mixed(stored(members(real.select("doc_id", "keys"), buckets), "members", (total or 0) // 32), roots)
     able, tested = texts.filter("doc_id is not null"), None
     for tiles, spanning in ((_around, False), (_tiled, True), (_tiled, False)):
         part = tiles(rows)
@@ -415,12 +417,14 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
             pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = stored(verified(pairs, _texts_of(able, pairs), rule).distinct(), "links")
+        many = pairs.count()
+        found = stored(verified(pairs, _texts_of(able, pairs), rule).distinct(), "links", many)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(roots.unionByName(found))
+        roots = components(roots.unionByName(found), n + many)
         if spanning:
             rows = _unsettled(rows, pairs.join(found.toDF("a", "b"), ["a", "b"], "left_anti"))
-        rows = stored(mixed(rows.select("key", "doc_id"), roots), "mixed")
+        if tiles is _around or spanning:
+            rows = mixed(rows.select("key", "doc_id"), roots)
     return _rooted(known, roots).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 

@@ -21,6 +21,9 @@ SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch, about.
 BATCH_BYTES = 2 << 20
 
+#: Short rows that a task writes, at least, where a bound of their number is known.
+TASK_ROWS = 1 << 15
+
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
@@ -79,9 +82,14 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a Parquet table in the shared folder: lineage is cut, lost executors cost nothing."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows read back from a Parquet table in the shared folder: lineage is cut, lost executors cost nothing.
+
+    Where a bound of the number of (short) rows is known and they come out of an exchange, they are written by tasks of ``TASK_ROWS``, so small tables are few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
