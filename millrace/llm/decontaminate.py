@@ -2,15 +2,15 @@
 
 The index is dealt by document: a shard of a few megabytes of text is one row of a stored table, with its documents and, for each term, the
 sorted positions of the term's words. A search broadcasts phrases to the shards. There each phrase starts from the shortest of its
-terms' lists (the rarest in that shard; an absent term ends it) and intersects the other lists, in the order of their
-lengths, after adjusting them by the terms' offsets. What is left are exact occurrences; proximity search
-intersects windows around the rarest term in the same way. Building shuffles nothing, and searching neither.
+terms' lists (the rarest in that shard) and intersects the other lists, in the order of their
+lengths, after adjusting them by the terms' offsets. Only phrases whose pivot, the term that fewest phrases hold, is in the shard are looked at. What is left are exact occurrences; proximity search
+intersects windows around the rarest term in the same way. The index holds all terms of all documents. Building shuffles nothing, and searching neither.
 
-Phrases are broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text, whose size is read first; further blocks are further passes over
-the stored index.
+Phrases are broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text, whose size is read first; each block is a pass over
+the stored index, and the spans of several blocks are united.
 
 Words are runs of ASCII letters (A-Z lower-cased), ASCII digits and characters beyond ASCII, compared by 64-bit hashes. Null and empty texts have no words; an item
-without words is not searched for. Null item_ids and repeated items count as the same item. Rows of documents are kept one for one, null and repeated doc_ids included; other columns are dropped.
+without words is not searched for. Items without an item_id count as one item whose name is null, repeated items as one. An empty table of documents gives no rows, an empty benchmark no hits. Texts are indexed whole, however long. Rows of documents are kept one for one, null and repeated doc_ids included; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +49,14 @@ class Phrases:
     length: np.ndarray
     item_ends: np.ndarray
     items: np.ndarray  # numbers of items
-    names: list[str]  # sorted
+    names: list[str | None]  # sorted, null last
+    pivot_ends: np.ndarray  # by term: where its list of phrases ends
+    pivots: np.ndarray  # the phrases of each term that fewest phrases hold
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int) -> Phrases:
+    def of(cls, items: list[tuple[str | None, str | None]], window: int) -> Phrases:
         """All windows of the items' words; an item of fewer words is one phrase."""
-        found: dict[tuple[bytes, ...], set[str]] = {}
+        found: dict[tuple[bytes, ...], set] = {}
         for name, text in items:
             own = item_words(text)
             for i in range(max(1, len(own) - window + 1) if own else 0):
@@ -63,45 +67,45 @@ class Phrases:
         number = dict(zip([vocabulary[i] for i in order], range(len(order)), strict=True))
         longest = max(map(len, found), default=1)
         rows = np.array([[number[w] for w in p] + [-1] * (longest - len(p)) for p in found], np.int32).reshape(len(found), longest)
-        names = sorted({n for own in found.values() for n in own})
+        names = sorted({n for own in found.values() for n in own}, key=lambda n: (n is None, n))
         at = {n: i for i, n in enumerate(names)}
+        held = np.bincount(rows[rows >= 0], minlength=len(hashes))
+        pivot = rows[np.arange(len(rows)), np.where(rows >= 0, held[rows] if len(held) else 0, np.iinfo(np.int64).max).argmin(axis=1)] if len(rows) else np.zeros(0, np.int32)
         return cls(
             hashes[order], rows, np.array([len(p) for p in found], np.int64), np.cumsum([len(v) for v in found.values()], dtype=np.int64),
-            np.array([at[n] for v in found.values() for n in sorted(v)], np.int64), names,
+            np.array([i for v in found.values() for i in sorted(at[n] for n in v)], np.int64), names,
+            np.cumsum(np.bincount(pivot, minlength=len(hashes))), np.argsort(pivot, kind="stable"),
         )
 
+    def possible(self, present: np.ndarray) -> np.ndarray:
+        """The phrases whose pivots are among the terms of which ``present`` says so."""
+        terms = np.flatnonzero(present)
+        sizes = np.diff(self.pivot_ends, prepend=0)[terms]
+        return np.sort(self.pivots[ragged(self.pivot_ends[terms] - sizes, sizes)])
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each shard: docs, n_words, terms (hashes), ends (of the terms' lists), positions (of words in the shard). ``terms``: sorted hashes to keep, or all."""
-    context = docs.sparkSession.sparkContext
-    wanted = None if terms is None else context.broadcast(terms)
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each shard: its number, docs, n_words, terms (sorted hashes), ends (of the terms' lists), positions (of words in the shard)."""
 
     def run(batches):
+        shard = TaskContext.get().partitionId() << 33  # the same when a task is run again
         for batch in batches:
             for row, end, body, offsets in text_slices(batch.column(1), SHARD_BYTES):
                 starts, ends, first = words(body := LOWER[body], offsets, ALNUM)
-                h = word_hashes(body, starts, ends)
-                if wanted is None:
-                    known, number = np.unique(h, return_inverse=True)
-                    at = np.arange(len(h))
-                else:
-                    known = wanted.value
-                    number = np.searchsorted(known, h)
-                    number[number == len(known)] = 0
-                    at = np.flatnonzero(known[number] == h) if len(known) else np.zeros(0, np.int64)
-                    number = number[at]
+                known, number = np.unique(word_hashes(body, starts, ends), return_inverse=True)
                 order = np.argsort(number.astype(np.int32), kind="stable")
                 lists = np.cumsum(np.bincount(number, minlength=len(known)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0).slice(row, end - row).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(first)], pa.list_(pa.int64())),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (known, lists.astype("<u4"), at[order].astype("<u4"))),
+                        *(pa.array([x.tobytes()], pa.binary()) for x in (known, lists.astype("<u4"), order.astype("<u4"))), pa.array([shard]),
                     ],
-                    ["docs", "n_words", "terms", "ends", "positions"],
+                    ["docs", "n_words", "terms", "ends", "positions", "shard"],
                 )
+                shard += 1
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "docs array<long>, n_words array<long>, terms binary, ends binary, positions binary")
+    return kept.mapInArrow(run, "docs array<long>, n_words array<long>, terms binary, ends binary, positions binary, shard long")
 
 
 class Shard:
@@ -171,7 +175,7 @@ def _shards(batch):
         cells = [batch.column(k)[i] for k in range(5)]
         n_words = np.array(cells[1].as_py(), np.int64)
         arrays = [np.frombuffer(c.as_buffer(), t) for c, t in zip(cells[2:], ("<u8", "<u4", "<u4"), strict=True)]
-        yield cells[0].as_py(), n_words, Shard(n_words, *arrays)
+        yield cells[0].as_py(), n_words, Shard(n_words, *arrays), batch.column(5)[i].as_py()
 
 
 def proximity(index: DataFrame, terms: list[str], slop: int) -> DataFrame:
@@ -180,7 +184,7 @@ def proximity(index: DataFrame, terms: list[str], slop: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for docs, _, shard in _shards(batch):
+            for docs, _, shard, _ in _shards(batch):
                 at = shard.near(shard.numbers(hashes), slop)
                 doc = np.searchsorted(shard.first, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([docs[d] for d in doc], pa.int64()), pa.array(at - shard.first[doc], pa.int64())], ["doc_id", "position"])
@@ -189,17 +193,19 @@ def proximity(index: DataFrame, terms: list[str], slop: int) -> DataFrame:
 
 
 def search(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """doc_id, shard_row, n_words, spans (starts and ends of the runs of hit words, 64-bit), items (names): a row for each document of the index."""
+    """doc_id, shard, shard_row, n_words, n_hit, spans (starts and ends of the runs of hit words, 64-bit), items (names): a row for each document of the index."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches):
         known: Phrases = shared.value
         items_at = np.concatenate(([0], known.item_ends))
         for batch in batches:
-            for docs, n_words, shard in _shards(batch):
+            for docs, n_words, shard, shard_no in _shards(batch):
                 number = shard.numbers(known.terms)
-                rows = np.where(known.rows >= 0, number[known.rows] if len(number) else -1, -1)
-                phrase, start = shard.phrases(rows, known.length)
+                some = known.possible(number >= 0)
+                rows = np.where(known.rows[some] >= 0, number[known.rows[some]] if len(number) else -1, -1)
+                phrase, start = shard.phrases(rows, known.length[some])
+                phrase = some[phrase]
                 delta = np.zeros(shard.size + 1, np.int64)
                 np.add.at(delta, start, 1)
                 np.add.at(delta, start + known.length[phrase], -1)
@@ -211,18 +217,19 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
                 begin, end = np.flatnonzero(hit & ~before[: len(hit)]), np.flatnonzero(hit & ~after[: len(hit)]) + 1
                 doc = np.searchsorted(shard.first, start, side="right") - 1
                 pairs = {(d, i) for d, p in {*zip(doc.tolist(), phrase.tolist(), strict=True)} for i in known.items[items_at[p] : items_at[p + 1]].tolist()}
-                names: list[list[str]] = [[] for _ in docs]
+                names: list[list] = [[] for _ in docs]
+                n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[shard.first])
                 for d, i in sorted(pairs):
                     names[d].append(known.names[i])
                 owner = np.searchsorted(shard.first, begin, side="right") - 1
                 upto = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(docs)))))
                 spans = np.stack([begin - shard.first[owner], end - shard.first[owner]], 1).reshape(-1).astype("<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(np.arange(len(docs))), pa.array(n_words), binaries(spans, 2 * upto).cast(pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                    ["doc_id", "shard_row", "n_words", "spans", "items"],
+                    [pa.array(docs, pa.int64()), pa.array([shard_no] * len(docs), pa.int64()), pa.array(np.arange(len(docs))), pa.array(n_words), pa.array(n_hit), binaries(spans, 2 * upto).cast(pa.binary()), pa.array(names, pa.list_(pa.string()))],
+                    ["doc_id", "shard", "shard_row", "n_words", "n_hit", "spans", "items"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, shard_row long, n_words long, spans binary, items array<string>")
+    return index.mapInArrow(run, "doc_id long, shard long, shard_row long, n_words long, n_hit long, spans binary, items array<string>")
 
 
 def union_spans(cells: list[bytes]) -> bytes:
@@ -238,38 +245,34 @@ def union_spans(cells: list[bytes]) -> bytes:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (starts and ends of hit runs of words, little-endian 64-bit), items: a row for each document."""
+    """doc_id, n_words, n_hit, spans (starts and ends of hit runs of words, little-endian 64-bit), items: a row for each document."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    if blocks == 1:
-        known = Phrases.of([(str(r.item_id), r.text) for r in items.collect()], window)
-        return search(stored(build_index(docs, known.terms, id_col, text_col), "postings"), known).drop("shard_row")
-    index = stored(build_index(docs, None, id_col, text_col), "postings").withColumn("shard", F.monotonically_increasing_id())
-    index = stored(index, "postings")
+    index = stored(build_index(docs, id_col, text_col), "postings")
     hits = []
     for block in range(blocks):  # a block's phrases are in the driver at a time
-        known = Phrases.of([(str(r.item_id), r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()], window)
-        hits.append(stored(search(index.drop("shard"), known).withColumn("row", F.monotonically_increasing_id()), "hits"))
-    both = hits[0]
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        hits.append(search(index, Phrases.of([(r.item_id, r.text) for r in part.collect()], window)))
+    if blocks == 1:
+        return hits[0].drop("shard", "shard_row")
+    both = stored(hits[0], "hits")
     for more in hits[1:]:
-        both = both.unionByName(more)
-    joined = F.pandas_udf(lambda cells: cells.map(lambda c: union_spans([*c])), "binary")
-    return both.groupBy("row").agg(
-        F.first("doc_id", False).alias("doc_id"), F.max("n_words").alias("n_words"), joined(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("row")
+        both = both.unionByName(stored(more, "hits"))
 
+    @F.pandas_udf("n_hit long, spans binary")
+    def united(cells):
+        spans = [union_spans([*c]) for c in cells]
+        return pd.DataFrame({"n_hit": [int(np.diff(np.frombuffer(s, "<i8").reshape(-1, 2), axis=1).sum()) for s in spans], "spans": spans})
 
-def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(source(spark, sf_dir, "documents", "doc_id", "text"), source(spark, sf_dir, "benchmark", "item_id", "text"), 10)
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    rows = both.groupBy("shard", "shard_row").agg(F.first("doc_id", False).alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("cells"), names)
+    return rows.withColumn("u", united("cells")).select("doc_id", "n_words", "u.*", "items")
 
-    @F.pandas_udf("long")
-    def covered(spans):
-        return spans.map(lambda s: int(np.diff(np.frombuffer(s, "<i8").reshape(-1, 2), axis=1).sum()))
 
-    hit = found.withColumn("n_hit", F.when(F.length("spans") > 0, covered("spans")).otherwise(F.lit(0).cast("long")))
-    return hit.select(
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(source(spark, sf_dir, "documents", "doc_id", "text"), source(spark, sf_dir, "benchmark", "item_id", "text"), 10)
+    return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )

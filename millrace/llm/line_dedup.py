@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.shared import raw, source, stored
 
@@ -240,14 +241,15 @@ class LineIndex:
         return every.filter(F.col("doc_id") != F.col("last_doc")).select("key", "doc_id")
 
 
-def clean(docs: DataFrame, dropped: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with kept (the text without dropped lines), n_lines (before) and n_dropped."""
-    goes = dropped.groupBy("doc_id").agg(F.array_join(F.collect_set(F.hex("key")), "").alias("goes")).withColumn("goes", F.unhex("goes"))
+def clean(docs: DataFrame, dropped: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+    """The documents, with kept (the text without dropped lines), n_lines (before) and n_dropped, under ``names``. A column of docs with one of these names gives way; all others stay as they are."""
+    goes = dropped.groupBy("doc_id").agg(F.array_join(F.collect_set(F.hex("key")), "").alias("goes")).select("doc_id", F.unhex("goes").alias("goes"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            body, at = raw(batch.column(text))
-            gone, gone_at = raw(batch.column(len(names)))
+            body, at = raw(batch.column(1))
+            gone, gone_at = raw(batch.column(2))
             data, out = body.tobytes(), []
             for a, b, c, d in zip(at[:-1], at[1:], gone_at[:-1], gone_at[1:], strict=True):
                 if c == d:
@@ -258,20 +260,11 @@ def clean(docs: DataFrame, dropped: DataFrame, least: int = 20, id_col: str = "d
                 kept = [line for line, key in zip(lines, keys, strict=True) if key not in out_keys]
                 out.append((b"\n".join(kept), len(lines), len(lines) - len(kept)))
             texts = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
-            added = [texts, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], schema_names)
-
-    names = docs.columns
-    text = names.index(text_col)
-    mine = ["kept", "n_lines", "n_dropped"]
-    if clash := {*mine, "goes"} & {*names}:
-        docs = docs.drop(*clash)
-        names = docs.columns
-        text = names.index(text_col)
-    schema_names = [*names, *mine]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", kept string, n_lines long, n_dropped long"
-    joined = docs.join(goes.withColumnRenamed("doc_id", "_goes_id"), F.col(id_col).cast("long") == F.col("_goes_id"), "left").select(*[docs[n] for n in names], "goes")
-    return joined.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["row", "kept", "n_lines", "n_dropped"])
+
+    joined = rows.join(goes, "doc_id", "left").select("row", "text", "goes")
+    schema = StructType([joined.schema["row"]]).add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(run, schema).select("row.*", *[F.col(c).alias(n) for c, n in zip(("kept", "n_lines", "n_dropped"), names, strict=True)])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ A block's bytes: a header, the number of ids of each document, the states of all
 The container is a Parquet table with a row for each block, written in ascending doc_id order, file by file. So any executor writes and reads it through
 Spark's own file systems, and a reader picks blocks by the ids' range.
 
-Null text is an empty text and has the end id only. A null doc_id is kept and sorts first. Equal doc_ids follow each other in the order of their ids' bytes.
-An empty table gives an empty container. Other columns of the input are dropped.
+Files are as many as shuffle partitions, or more where they would exceed ``FILE_BYTES`` of ids.
+
+Null text is an empty text and has the end id only. A null doc_id is kept and sorts first. Equal doc_ids follow each other in the order of a hash of their ids. Special tokens that stand in a text get their ids.
+Texts are encoded whole, however long; a very long one is a block of its own. An empty table gives an empty container. Other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SCALE = 20
 LANES = 256
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 1 << 18
+#: Bytes of ids in a file, at most but for its last document.
+FILE_BYTES = 256 << 20
 #: Steps (each of LANES ids) between checkpoints.
 CHECKPOINT_STEPS = 256
 _LOW = 1 << 31
@@ -222,8 +226,11 @@ def write(tokens: DataFrame, path: str, table: Frequencies) -> None:
 
     names = ["file_no", "block_no", "first", "n_ids", "docs", "block"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    files = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    in_order = tokens.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    size = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
+    files = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    # rows of one doc_id, or of none, are dealt by a hash of their ids, so that they can be many
+    mark = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("mark"))
+    in_order = mark.repartitionByRange(files, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "ids")
     in_order.mapInArrow(run, "file_no long, block_no long, first long, n_ids long, docs array<long>, block binary").write.parquet(f"{path}/blocks")
     rows = list(zip(table.symbols.tolist(), table.freq.tolist(), strict=True))
     spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")

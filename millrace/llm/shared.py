@@ -50,12 +50,14 @@ def tuned(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own if Spark runs in this machine alone, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="millrace-")
             context.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)

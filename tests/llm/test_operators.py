@@ -45,24 +45,22 @@ def test_bpe_offsets_and_split_characters(spark):
 
 
 # ---------------------------------------------------------------- 2: rANS
-def test_rans_round_trip(spark):
+def test_rans_query(spark, tmp_path):
+    """The registered query against the library as it comes, over nulls, repeated doc_ids, special tokens in texts, and a very long text."""
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path(rans.VOCABULARY))
-    tokenizer.encode_special_tokens = True
-    docs = documents(spark, [x for x in ODD if x[0] is not None and x != (8, "a")], True)
-    tokens = rans.tokenize(docs)
-    from millrace.llm.shared import scratch
-
-    path = scratch(spark, "test")
-    rans.write(tokens, path, rans.count_ids(tokens))
-    got = {r.doc_id: r for r in rans.read(spark, path).collect()}
-    at = 0
-    for i, t in sorted(x for x in ODD if x[0] is not None and x != (8, "a")):
-        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
-        assert (got[i].start, got[i].n_tokens, bytes(got[i].ids)) == (at, len(ids) // 4, ids)
-        at += len(ids) // 4
+    rows = [*ODD, (8, "another of this id"), (10, "a <|endoftext|> b"), (-4, "<|startoftext|>A<|endoftext|>"), (None, None)]
+    documents(spark, rows, True).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rans.op2_rans_tokens(spark, str(tmp_path)).collect()
+    tokens = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+    show = lambda i, ids: (str(i), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted(show(i, tokens(t)) for i, t in rows)
+    in_order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in in_order] == np.cumsum([0, *(r.n_tokens for r in in_order)])[:-1].tolist()
+    ids = [r.doc_id for r in in_order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
 
 
 def test_rans_added_tokens_are_the_librarys(spark):
@@ -126,6 +124,10 @@ def test_lines(spark):
     got = line_dedup.clean(docs, index.dropped()).collect()
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept or "") for r in got) == brute_lines(rows)
     assert line_dedup.clean(documents(spark, []), index.dropped()).count() == 0
+    named = docs.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("_goes_id", "goes", "row", "n_lines")])
+    more = line_dedup.clean(named, index.dropped(), names=("now", "lines", "gone"))
+    assert more.columns == [*named.columns, "now", "lines", "gone"] and more.filter("_goes_id <> 'mine' or goes <> 'mine' or `row` <> 'mine' or n_lines <> 'mine'").count() == 0
+    assert sorted((str(r.doc_id), r.now, r.lines, r.gone) for r in more.collect()) == sorted((str(r.doc_id), r.kept, r.n_lines, r.n_dropped) for r in got)
 
 
 def test_lines_are_reversible(spark):
@@ -161,16 +163,17 @@ def brute_hits(text, items, window=10):
                 if doc[at : at + len(part)] == part:
                     hit |= {*range(at, at + len(part))}
                     names.add(name)
-    return len(doc), len(hit), sorted(names)
+    return len(doc), len(hit), sorted(names, key=str)
 
 
 def test_benchmark(spark, monkeypatch):
     item = words(1, 25)
-    items = [("7", " ".join(item)), ("10", "Tiny item"), ("8", None), ("9", "!!"), ("11", " ".join(item[5:20]))]
-    rows = [*[x for x in ODD if x[1] != LONG], (30, " ".join(words(2, 20) + item[:12] + words(3, 5))), (31, "A TINY, item. " + " ".join(item[5:14])), (32, " ".join(item * 2))]
-    docs, bench = documents(spark, rows, True), spark.createDataFrame([(int(a), b) for a, b in items], "item_id long, text string")
+    items = [("7", " ".join(item)), ("10", "Tiny item"), ("8", None), ("9", "!!"), ("11", " ".join(item[5:20])), (None, " ".join(item[3:18])), (None, "no id"), ("7", LONG[-200:])]
+    rows = [*ODD, (30, " ".join(words(2, 20) + item[:12] + words(3, 5))), (31, "A TINY, item. " + " ".join(item[5:14])), (32, " ".join(item * 2))]
+    docs, bench = documents(spark, rows, True), spark.createDataFrame([(a and int(a), b) for a, b in items], "item_id long, text string")
     want = sorted((str(i), *brute_hits(t, items)) for i, t in rows)
-    show = lambda f: sorted((str(r.doc_id), r.n_words, int(np.diff(np.frombuffer(r.spans, "<i8").reshape(-1, 2), axis=1).sum()), list(r["items"])) for r in f.collect())
+    spans = lambda r: int(np.diff(np.frombuffer(r.spans, "<i8").reshape(-1, 2), axis=1).sum())
+    show = lambda f: sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(r["items"], key=str)) for r in f.collect() if r.n_hit == spans(r))
     assert show(decontaminate.find(docs, bench)) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     assert show(decontaminate.find(docs, bench)) == want
@@ -229,6 +232,26 @@ def test_parity_join(spark, k, num):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_parity_join_hot_group(spark, monkeypatch):
+    """One large group of near copies, half of them too far from each other, and a passage that most documents hold; keys cut into chunks, components by stars."""
+    from millrace.llm import components as stars
+
+    rng, base, rows = np.random.default_rng(5), words(1, 200), []
+    for i in range(120):
+        own = list(base)
+        for at in rng.choice(200, int(rng.integers(0, 12)), replace=False):
+            own[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, " ".join(words(7, 40) + words(300 + i, int(rng.integers(1, 60))))) for i in range(60)]
+    want = brute_components(rows, 4, 85, 100)
+    sizes = np.unique(list(want.values()), return_counts=True)[1]
+    assert len(sizes) > 70 and sizes.max() > 30
+    for tile, few in ((512, 1 << 20), (16, 0)):
+        monkeypatch.setattr(parity_join, "TILE", tile)
+        monkeypatch.setattr(stars, "FEW", few)
+        assert {r.doc_id: r.component_id for r in parity_join.join(documents(spark, rows).repartition(6)).collect()} == want
+
+
 def test_parity_join_empty(spark):
     assert parity_join.join(documents(spark, [])).count() == 0
 
