@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import longs, ragged, source, stored
 
-TREES = 40
+TREES = 64
 #: The deepest prefix that is looked up; a shard has far fewer rows than prefixes of this length.
 DEPTH = 32
 #: The chance of missing a row that is as near as the k-th found.
-MISS = 0.04
+MISS = 0.1
 SHARD_ROWS = 1 << 14
 
 
