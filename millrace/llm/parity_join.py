@@ -7,7 +7,7 @@ shingles, whatever the length of the sketch. Sets are banded by size; in a band,
   order that their contents fix, those with most rare shingles first, and each set is filed under its first d + 1: two similar sets meet under at least one. Few bits of a block are
   set, so a block is known by the exclusive or of a random word for each set bit, which is 64 parities of random halves of its bits: equal blocks have equal words. Which
   shingles are common is learnt from a bounded sample of documents; it changes only how many sets meet in vain.
-* A sketch of some 16 d bits (a power of two; a longer one is folded by XOR where bands meet) is carried to the keys. Pairs whose sketches or sizes differ by too much are dropped
+* A sketch of some 16 d bits (a power of two up to ``SKETCH_BITS``; a longer one is folded by XOR where bands meet) is carried to the keys. Pairs whose sketches or sizes differ by too much are dropped
   without their texts.
 
 Equal sets are one: the least document stands for them. A key that documents share counts a row a batch before it is dealt out. Then, in three turns, only keys whose documents are
@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components, least_labels
 from millrace.llm.shared import LOWER, NON_SPACE, longs, mix, ragged, raw, run_hashes, source, stored, text_slices, tuned, word_hashes, words
 
+#: Bits of a sketch that is carried to the keys, at most: a longer set has more keys, so its sketches must not grow too. Sketches that are too short let pairs through, which their texts then decide.
+SKETCH_BITS = 1 << 13
 #: Keys in a bucket, about, and bits of a key beside its bucket: so few keys of a bucket agree by chance, however many buckets there are.
 BUCKET_KEYS, KEY_BITS = 1 << 19, 40
 #: Documents from which common shingles are learnt, about, and how many of the commonest count as such at most.
 SAMPLE, COMMON = 5000, 1 << 17
-#: Ids (of 8 bytes), or ids and their components, that may be broadcast.
+#: Ids (of 8 bytes), ids and their components, or digests (of 16) and their documents that may be broadcast.
 BROADCAST_IDS = 1 << 18
 #: Documents of a key that are compared at once; a key of more is cut into chunks.
 TILE = 512
@@ -94,9 +96,9 @@ class Rule:
         return out
 
     def sketch_bits(self, n: int, edges: np.ndarray) -> int:
-        """Bits of the sketch of a set of n in its band: a power of two, 16 or more for each shingle that may differ."""
+        """Bits of the sketch of a set of n in its band: a power of two, 16 or more for each shingle that may differ, up to ``SKETCH_BITS``."""
         d = (self.den - self.num) * (int(edges[int(np.searchsorted(edges, n, side="right"))]) - 1) // self.num
-        return max(512, 1 << (16 * d - 1).bit_length()) if d else 512
+        return min(max(512, 1 << (16 * d - 1).bit_length()), SKETCH_BITS) if d else 512
 
     def most(self, sizes):
         """How much two similar sets of such sizes together may differ at most."""
@@ -353,7 +355,7 @@ def _pairs(rows: DataFrame, real: DataFrame, rule: Rule, spanning: bool) -> Data
     """The pairs of the tiles of rows with key, doc_id, root, c and tiles (x, y)."""
     many = rows.agg(F.sum(F.size("tiles"))).first()[0] or 0
     spread = rows.join(real.select("doc_id", "n", "sketch"), "doc_id").select("*", F.explode("tiles").alias("t")).select("*", "t.*")
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BUCKET_ROWS))
+    buckets = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BUCKET_ROWS))
     return stored(compared(spread, rule, buckets, spanning), "pairs", many)
 
 
@@ -403,6 +405,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     real = known.filter("doc_id is not null and n > 0")
     copies = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep <> last").select("digest", "rep")
     copies = stored(copies, "copies", n)
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     links = real.select("digest", "doc_id").join(copies, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     roots = components(links, n)
     real = real.join(copies, "digest", "left").filter("rep is null or rep = doc_id")
