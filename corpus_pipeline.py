@@ -1,7 +1,7 @@
 """From raw documents to training tokens, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents. Rows without a doc_id take no part in links and
-counts and stay where their text is kept.
+counts and stay where their text is kept; the benchmark stage judges them by their text too. Empty tables give empty tables, and columns that documents have beside its own stay as they are.
 """
 
 from __future__ import annotations
@@ -22,11 +22,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs, weights, LEAST_QUALITY)
 
 
+def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, made longer until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple(next(n for i in range(len(taken) + 1) if (n := name + "_" * i) not in taken) for name in names)
+
+
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of 20 code points or more that three documents share, but in the last of them."""
     dropped = line_dedup.LineIndex.build(docs, min_docs=3, least=20).dropped()
-    cleaned = line_dedup.clean(docs, dropped)
-    now = {"text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long")}
+    kept, _, gone = new = _free(docs, "kept", "n_lines", "n_dropped")
+    cleaned = line_dedup.clean(docs, dropped, names=new)
+    now = {"text": F.when(F.col(gone) > 0, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(F.col(gone) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast("long")}
     return cleaned.select(*[now[c].alias(c) if c in now else c for c in docs.columns])
 
 
@@ -38,9 +45,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item (or all words of a shorter one)."""
-    found = decontaminate.find(docs, source(spark, sf_dir, "benchmark", "item_id", "text"), 10)
-    hit = found.filter((F.length("spans") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(stored(hit, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    (key,) = _free(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # each row by its own text, those without or with one doc_id too
+    found = decontaminate.find(keyed, source(spark, sf_dir, "benchmark", "item_id", "text"), 10, id_col=key)
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(stored(hit, "contaminated"), key, "left_anti").select(*docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
