@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import operators as ops
+from millrace import vectors
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,6 +409,15 @@ _pipe("pipe_hashes", _NATION, "md5 | sha256 -t", "select cast(n_regionkey as var
 _pipe("pipe_crypto", _NATION, "rc4 -R key | rc4 key | aes -R h:00112233445566778899aabbccddeeff | aes h:00112233445566778899aabbccddeeff", "select cast(n_regionkey as varchar) as key, n_name as out from nation")
 
 
+def _vectors(family: str) -> None:
+    _QUERIES[f"vectors_{family}"] = lambda spark, sf: vectors.results(spark, family)
+    _SQL[f"vectors_{family}"] = vectors.sql(family)
+
+
+for _family in vectors.FAMILIES:
+    _vectors(_family)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct documents by hash with their numbers, the most frequent first: dedup -c, sorted and pick in one plan."""
     return dedup_sorted_pick(spark, sf_dir)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.registry import UNITS, unit
 from millrace.functions.strings import latin, unlatin
+from millrace.functions.wallets import SHAPES, addresses
 
 _TLD = r"(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|mobi|pro|aero|coop|museum|xyz|top|site|online|shop|club|app|dev|cloud|live|tech|store|space|icu|vip|work|link|click|onion|arpa|bit|example|test|local|localhost|internal|fun|today|world|news|blog|agency|email|digital|media|network|systems|group|life|one|page|wiki|zone)"
 _LABEL = r"[a-zA-Z0-9_](?:[-a-zA-Z0-9_]{0,61}[a-zA-Z0-9])?"
@@ -47,38 +48,6 @@ ALIASES = {
     "flt": "float", "int": "integer", "num": "number", "str": "string", "b32": "base32", "b58": "base58", "b62": "base62", "b64": "base64", "b85": "base85", "b92": "base92", "a85": "ascii85", "b16": "base16", "b64u": "base64u", "b16s": "base16s", "b64s": "base64s", "b85s": "base85s", "ps": "printable", "hd": "hexdump",
     "uq": "urlquote", "uh": "urlhex", "hostname": "host",
 }
-# fixed values: the shapes of wallet addresses
-WALLETS = {
-    "ADA": f"addr1[a-z0-9]{{98}}|(?:Ae2|DdzFF){_B58}{{50,104}}",
-    "ALGO": "[A-Z2-7]{58}",
-    "ATOM": r"cosmos[-\w.]{10,}",
-    "AVAX": "(?:X-|P-)avax1[0ac-hj-np-z2-9]{38}",
-    "BCH": "(?:bitcoincash:)?[qp][0ac-hj-np-z2-9]{41}|(?:BITCOINCASH:)?[QP][0AC-HJ-NP-Z2-9]{41}",
-    "BTC": "[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-z0-9]{25,59}",
-    "DASH": f"X{_B58}{{33}}",
-    "DOGE": f"D[5-9A-HJ-NP-U]{_B58}{{32}}",
-    "DOT": "1[0-9a-zA-Z]{47}",
-    "ETH": "0x[0-9a-fA-F]{40}",
-    "IOTA": "iota[a-z0-9]{10,}",
-    "LSK": "[0-9]{19}L",
-    "LTC": "[LM3][a-km-zA-HJ-NP-Z1-9]{26,33}|ltc1[a-z0-9]{25,87}",
-    "NEO": f"N{_B58}{{33}}",
-    "ONE": "(?:bnb|one)1[a-z0-9]{38}",
-    "ONT": f"A{_B58}{{33}}",
-    "RONIN": "ronin:[0-9a-fA-F]{40}",
-    "RVN": f"R{_B58}{{33}}",
-    "SOLANA": f"{_B58}{{43,44}}",
-    "TERRA": "terra1[a-z0-9]{38}",
-    "TON": "[UE][Qf][0-9a-zA-Z_-]{46}",
-    "TRON": "T[A-Za-z1-9]{33}",
-    "WIF": f"5[HJK]{_B58}{{49}}",
-    "XEM": "N[A-Z2-7]{39}|N[A-Z2-7]{4,7}(?:-[A-Z2-7]{4,7}){4,6}",
-    "XLM": "G[A-D][A-Z2-7]{54}",
-    "XMR": f"4[0-9AB]{_B58}{{90,120}}",
-    "XRP": f"r[0-9a-zA-Z]{{24,34}}|X{_B58}{{46}}",
-    "XTZ": f"(?:tz[123]|KT1){_B58}{{33}}",
-    "ZCASH": f"t[13]{_B58}{{33}}|z[cs]{_B58}{{76,93}}",
-}
 INDICATORS = {
     "date": r"\d{4}[-/.]\d{2}[-/.]\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?|\d{1,2}[-/. ](?:\d{1,2}|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[-/. ]\d{4}", "domain": _DOMAIN, "email": rf"[a-zA-Z0-9][\w.%+-]{{0,63}}@{_DOMAIN}", "guid": r"\{?[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\}?", "ipv4": _IPV4, "ipv6": _IPV6,
     "host": rf"{_HOST}(?::\d{{1,5}})?", "socket": rf"{_HOST}:\d{{1,5}}", "url": rf"[a-zA-Z][a-zA-Z0-9+.-]{{1,18}}://(?:[\w.%+-]+(?::[^\s@/]*)?@)?(?:{_HOST}|{_LABEL})(?::\d{{1,5}})?(?:/[\w/.,~%+@:!$&'()*;=\-]*)?(?:\?[\w/.,~%+@:!$&'()*;=?\-]*)?(?:#[\w/.,~%+@:!$&'()*;=?\-]*)?", "md5": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32}(?![0-9A-Fa-f])", "sha1": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40}(?![0-9A-Fa-f])",
@@ -89,7 +58,7 @@ NAMED = FORMATS | INDICATORS | {k: FORMATS[v] for k, v in ALIASES.items() if v i
 
 def expanded(regex: str) -> str:
     """``(??name)`` stands for a named pattern, ``(??name:more)`` too, without more."""
-    return re.sub(r"\(\?\?(\w+)(?::[^)]*)?\)", lambda m: f"(?:{(NAMED | WALLETS)[m[1]]})", regex)
+    return re.sub(r"\(\?\?(\w+)(?::[^)]*)?\)", lambda m: f"(?:{(NAMED | SHAPES)[m[1]]})", regex)
 
 
 def compiled(regex: str | bytes, multiline: bool = False, ignorecase: bool = False) -> re.Pattern[bytes]:
@@ -219,27 +188,10 @@ def xtp(data, pattern=(), filter=0, duplicates=False, **limits):
     yield from chosen(found(), unique=not duplicates, **limits)
 
 
-def _check58(text: bytes) -> bool:
-    import hashlib
-
-    from millrace.functions.codecs import B58, big_decode
-
-    raw = big_decode(text, B58, keep_zeros=True)
-    return len(raw) > 4 and hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
-
-
 @unit("xtw", f"-d:duplicates {_LIMITS.replace(' -q:unique', '')}", many=True)
 def xtw(data, duplicates=False, **limits):
-    """Wallet addresses; those with a checksum in base 58 must fit it."""
-
-    def found():
-        for name, regex in WALLETS.items():
-            for m in re.finditer(rb"(?<![\w-])(?:" + regex.encode() + rb")(?![\w-])", data):
-                if name in ("DASH", "DOGE", "NEO", "RVN", "WIF", "TRON") and not _check58(m[0]) or name == "BTC" and m[0][:1] in b"13" and not _check58(m[0]):
-                    continue
-                yield m[0], {"offset": m.start(), "kind": name}
-
-    yield from chosen(found(), unique=not duplicates, **limits)
+    """Wallet addresses; those of formats with a checksum must fit it."""
+    yield from chosen(((x, {"offset": at, "kind": name}) for x, name, at in addresses(data)), unique=not duplicates, **limits)
 
 
 _DECODERS = {"base64": "b64", "base64s": "b64", "base64u": "b64", "base32": "b32", "base58": "b58", "base62": "b62", "base85": "b85", "ascii85": "a85", "a85s": "a85", "z85": "z85", "z85s": "z85", "base92": "b92", "hex": "hex", "base16": "hex", "base16s": "hex", "hexarray": "hex", "urlquote": "url", "urlhex": "url", "htmlesc": "htmlesc", "string": "esc", "ps1str": "escps", "vbastr": "escvb", "uuenc": "uuenc", "intarray": "pack"}
@@ -249,7 +201,7 @@ _DECODERS = {"base64": "b64", "base64s": "b64", "base64u": "b64", "base32": "b32
 def carve(data, format, decode=False, single=False, **limits):
     """Data in a named format, decoded if asked for; a single one is the longest."""
     name = ALIASES.get(format, format)
-    pattern = compiled((NAMED | WALLETS)[name])
+    pattern = compiled((NAMED | SHAPES)[name])
     if single:
         limits |= {"longest": True, "take": 1}
 
