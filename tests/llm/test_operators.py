@@ -300,9 +300,23 @@ def brute_substrings(rows, window=50):
 def test_substrings(spark):
     a, b, c = words(1, 200), words(2, 200), words(3, 120)
     rows = [(1, " ".join(a)), (2, " ".join(b[:30] + a[50:120] + b[30:])), (3, " ".join(a)), (4, " ".join(c + a[:49])), (5, " ".join(a[:50] + c)), (6, " ".join(b[10:100] + a[60:130] + c[:60])), (7, " ".join(["same"] * 300)), (8, " ".join(["same"] * 60))]
-    rows += [x for x in ODD if x[1] != LONG]
-    got = substring_dedup.remove(substring_dedup.find(documents(spark, rows, True))).collect()
+    rows += [*ODD, (20, LONG + " end"), (21, " ".join(words(99, 30_000)[20_000:20_120]))]
+    rng = np.random.default_rng(8)
+    for i in range(30, 90):  # patchworks of a few sources, so that windows run over borders that several documents share
+        parts = [(a, b, c)[int(rng.integers(3))] for _ in range(4)]
+        cuts = [(p, int(rng.integers(0, 60)), int(rng.integers(60, 121))) for p in parts]
+        rows.append((i, " ".join(x for p, u, v in cuts for x in p[u:v])))
+    docs = documents(spark, rows, True)
+    got = substring_dedup.remove(substring_dedup.find(docs)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute_substrings(rows)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append([x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x])
+    for r in got:
+        made = np.frombuffer(r.factors, "<i8").reshape(-1, 4).tolist()
+        assert bool(made) == (r.n_removed > 0)
+        for start, size, origin, at in made:  # a factor is what stands at its place in its source, as far as it goes
+            assert origin < r.doc_id and size >= 50 and any(x[start : start + size] == y[at : at + size] for x in texts[r.doc_id] for y in texts[origin] if len(x) == r.n_words)
     assert substring_dedup.remove(substring_dedup.find(documents(spark, []))).count() == 0
 
 
