@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import NON_SPACE, binaries, inverse, longs, mix, powers, ragged, raw, run_hashes, source, stored, text_slices, word_hashes, words
 
 WINDOW = 50
+#: Rows (an id and a tag, 12 bytes) that may be broadcast.
+BROADCAST_ROWS = 1 << 18
 _BASE, _OTHER = 0x9E6C63D0876A9A47, 0x2545F4914F6CDD1D
 
 
@@ -173,6 +175,14 @@ def factors(n: int, pieces: np.ndarray) -> np.ndarray:
     return out[np.lexsort((-out[:, 1], out[:, 0]))]
 
 
+def _having(texts: DataFrame, marks: DataFrame, row: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The texts of the rows of ``marks``, and the others. Up to ``BROADCAST_ROWS`` rows are broadcast, so that no other text moves; of more, all texts are taken for theirs and there are no others."""
+    if marks.count() > BROADCAST_ROWS:
+        return texts, None
+    keys = F.broadcast(marks.select(*row))
+    return texts.join(keys, row, "left_semi"), texts.join(keys, row, "left_anti")
+
+
 def find(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, copy_of (the least document that is equal word for word, if that is an earlier one), pieces (at, size, source, origin: of factors): a row for each document."""
     text = F.col(text_col).cast("string")
@@ -189,7 +199,8 @@ def find(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
     common = held.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("anchor")
     joined = held.join(stored(common, "common"), "anchor").groupBy(*row).agg(F.collect_list("anchor").alias("anchors"))
     packed = joined.mapInArrow(_packed, "doc_id long, tag int, anchors binary")
-    blocks = stored(_blocks(texts.join(stored(packed, "shared"), row).select("doc_id", "text", "anchors", "tag"), window), "blocks")
+    packed = stored(packed, "shared")
+    blocks = stored(_blocks(_having(texts, packed, row)[0].join(packed, row).select("doc_id", "text", "anchors", "tag"), window), "blocks")
     origin = F.min(F.struct(F.col("doc_id").alias("source"), F.col("at").alias("origin"))).alias("o")
     firsts = blocks.groupBy("x", "y").agg(origin, F.max("doc_id").alias("last")).filter("o.source <> last").select("x", "y", "o.*")
     judged = stored(blocks.join(stored(firsts, "firsts"), ["x", "y"], "left"), "judged")
@@ -201,7 +212,12 @@ def find(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
     pieces = whole.unionByName(edges).groupBy(*row).agg(F.collect_list(F.struct("at", "size", "source", "origin")).alias("pieces"))
     kind = pieces.schema["pieces"].dataType.simpleString()
     marks = pieces.select(*row, "pieces", F.lit(None).cast("long").alias("copy_of")).unionByName(copies.select(*row, F.lit(None).cast(kind).alias("pieces"), "copy_of"))
-    return texts.join(marks, row, "left").select("doc_id", "text", "copy_of", "pieces")
+    marks = stored(marks, "marks")
+    own, others = _having(texts, marks, row)
+    own = own.join(marks, row, "left").select("doc_id", "text", "copy_of", "pieces")
+    if others is None:
+        return own
+    return own.unionByName(others.select("doc_id", "text", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast(kind).alias("pieces")))
 
 
 def _packed(batches):

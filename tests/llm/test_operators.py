@@ -297,7 +297,7 @@ def brute_substrings(rows, window=50):
     return sorted(out)
 
 
-def test_substrings(spark):
+def test_substrings(spark, monkeypatch):
     a, b, c = words(1, 200), words(2, 200), words(3, 120)
     rows = [(1, " ".join(a)), (2, " ".join(b[:30] + a[50:120] + b[30:])), (3, " ".join(a)), (4, " ".join(c + a[:49])), (5, " ".join(a[:50] + c)), (6, " ".join(b[10:100] + a[60:130] + c[:60])), (7, " ".join(["same"] * 300)), (8, " ".join(["same"] * 60))]
     rows += [*ODD, (20, LONG + " end"), (21, " ".join(words(99, 30_000)[20_000:20_120]))]
@@ -309,6 +309,8 @@ def test_substrings(spark):
     docs = documents(spark, rows, True)
     got = substring_dedup.remove(substring_dedup.find(docs)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute_substrings(rows)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove(substring_dedup.find(docs)).collect()) == brute_substrings(rows)
     texts = {}
     for i, t in rows:
         texts.setdefault(i, []).append([x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x])
