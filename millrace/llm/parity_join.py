@@ -425,7 +425,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = components(roots.unionByName(found), n + many)
         if spanning:
-            rows = _unsettled(rows, pairs.join(found.toDF("a", "b"), ["a", "b"], "left_anti"))
+            rows = stored(_unsettled(rows, pairs.join(found.toDF("a", "b"), ["a", "b"], "left_anti")).select("key", "doc_id"), "unsettled")
         if tiles is _around or spanning:
             rows = mixed(rows.select("key", "doc_id"), roots)
     return _rooted(known, roots).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
