@@ -369,13 +369,14 @@ def _around(rows: DataFrame) -> DataFrame:
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """Tiles in which all documents of different roots of a key meet. Chunks of the largest root come last and do not meet each other."""
-    hot, own = F.col("g") > TILE, F.col("root") == F.col("major")
-    others = F.when(hot, F.ceil((F.col("g") - F.col("n_major")) / TILE)).otherwise(1)
-    every = F.when(hot, others + F.ceil(F.col("n_major") / TILE)).otherwise(1)
+    """Tiles in which all documents of different roots of a key meet. Chunks of the largest root, if it fills any, come last and do not meet each other."""
+    apart = F.col("n_major") > TILE
+    own = apart & (F.col("root") == F.col("major"))
+    others = F.ceil(F.when(apart, F.col("g") - F.col("n_major")).otherwise(F.col("g")) / TILE)
+    every = F.when(apart, others + F.ceil(F.col("n_major") / TILE)).otherwise(others)
     mark = F.xxhash64("doc_id", "key")
-    c = F.when(hot & own, others + F.pmod(mark, every - others)).otherwise(F.pmod(mark, others)).cast("long")
-    meets = F.sequence(F.lit(0).cast("long"), (F.when(hot & own, others).otherwise(every) - 1).cast("long"))
+    c = F.when(own, others + F.pmod(mark, every - others)).otherwise(F.pmod(mark, others)).cast("long")
+    meets = F.sequence(F.lit(0).cast("long"), (F.when(own, others).otherwise(every) - 1).cast("long"))
     return rows.withColumn("c", c).withColumn("tiles", F.transform(meets, lambda j: F.struct(F.least(F.col("c"), j).alias("x"), F.greatest(F.col("c"), j).alias("y"))))
 
 
@@ -387,11 +388,13 @@ def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _unsettled(rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """The rows of keys that hold both documents of a pair that failed."""
+def _unsettled(rows: DataFrame, forests: DataFrame, failed: DataFrame) -> DataFrame:
+    """Of the keys that hold both documents of a pair that failed, the rows of roots at which a forest's pair ends: a root without one has no pair under its key that sizes and sketches allow."""
     by = rows.select("key", "doc_id")
     ends = by.join(failed.withColumnRenamed("a", "doc_id"), "doc_id").select("key", F.col("b").alias("doc_id")).distinct()
-    return rows.join(ends.join(by, ["key", "doc_id"]).select("key").distinct(), "key", "left_semi")
+    open_keys = ends.join(by, ["key", "doc_id"]).select("key").distinct()
+    touched = rows.select("key", "root", "doc_id").join(forests.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return rows.join(touched.join(open_keys, "key", "left_semi").select("key", "root").distinct(), ["key", "root"], "left_semi")
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,17 +418,19 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
         part = tiles(rows)
         if part.isEmpty():
             continue
-        pairs = _pairs(part, real, rule, spanning)
-        if tested is not None:
-            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        allowed = _pairs(part, real, rule, spanning)
+        if spanning and allowed.isEmpty():
+            break
+        pairs = allowed if tested is None else stored(allowed.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not spanning and pairs.isEmpty():
             continue
         many = pairs.count()
         found = stored(verified(pairs, _texts_of(able, pairs), rule).distinct(), "links", many)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = components(roots.unionByName(found), n + many)
         if spanning:
-            rows = stored(_unsettled(rows, pairs.join(found.toDF("a", "b"), ["a", "b"], "left_anti")).select("key", "doc_id"), "unsettled")
+            # a pair of the forest that failed in an earlier turn counts too: it joins nothing
+            rows = stored(_unsettled(rows, allowed, allowed.join(found.toDF("a", "b"), ["a", "b"], "left_anti")).select("key", "doc_id"), "unsettled")
         if tiles is _around or spanning:
             rows = mixed(rows.select("key", "doc_id"), roots)
     return _rooted(known, roots).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
