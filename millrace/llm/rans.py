@@ -8,7 +8,7 @@ A block's bytes: a header, the number of ids of each document, the states of all
 The container is a Parquet table with a row for each block, written in ascending doc_id order, file by file. So any executor writes and reads it through
 Spark's own file systems, and a reader picks blocks by the ids' range.
 
-Files are as many as shuffle partitions, or more where they would exceed ``FILE_BYTES`` of ids.
+Files are as many as shuffle partitions, fewer where adaptive execution joins small ones, or more where they would exceed ``FILE_BYTES`` of ids.
 
 Null text is an empty text and has the end id only. A null doc_id is kept and sorts first. Equal doc_ids follow each other in the order of a hash of their ids. Special tokens that stand in a text get their ids.
 Texts are encoded whole, however long; a very long one is a block of its own. An empty table gives an empty container. Other columns of the input are dropped.
@@ -227,10 +227,12 @@ def write(tokens: DataFrame, path: str, table: Frequencies) -> None:
     names = ["file_no", "block_no", "first", "n_ids", "docs", "block"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     size = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
-    files = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    files = -(-size // FILE_BYTES)
+    # without a number, adaptive execution joins small ranges that are neighbours, which leaves their order
+    many = [files] if files > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
     # rows of one doc_id, or of none, are dealt by a hash of their ids, so that they can be many
     mark = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("mark"))
-    in_order = mark.repartitionByRange(files, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "ids")
+    in_order = mark.repartitionByRange(*many, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "ids")
     in_order.mapInArrow(run, "file_no long, block_no long, first long, n_ids long, docs array<long>, block binary").write.parquet(f"{path}/blocks")
     rows = list(zip(table.symbols.tolist(), table.freq.tolist(), strict=True))
     spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
@@ -259,7 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     found = blocks.select("file_no", "first", "docs", "block").mapInArrow(run, "file_no long, doc_id long, at long, n_tokens long, ids binary")
-    # a row for each file: the sum of the files before it. The writer makes as many files as shuffle partitions, so broadcasting them is bounded
+    # a row for each file: the sum of the files before it. The writer makes no more files than shuffle partitions, or than FILE_BYTES asks for, so broadcasting them is bounded
     sums = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     base = sums.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base"))
     return found.join(F.broadcast(base), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")

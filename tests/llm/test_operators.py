@@ -97,6 +97,29 @@ def test_rans_empty(spark):
     assert rans.read(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("file_bytes", [rans.FILE_BYTES, 64])
+def test_rans_files_by_bytes(spark, monkeypatch, file_bytes):
+    """Few files for little data however many shuffle partitions there are, many where files may be small; the same rows in the same places."""
+    from millrace.llm.shared import scratch
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(rans, "FILE_BYTES", file_bytes)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "211")
+        tokens = rans.tokenize(documents(spark, [(i, " ".join(words(i, i % 40))) for i in range(600)]).repartition(5))
+        path = scratch(spark, "test")
+        rans.write(tokens, path, rans.count_ids(tokens))
+        files = spark.read.parquet(f"{path}/blocks").select("file_no").distinct().count()
+        got = sorted(rans.read(spark, path).collect(), key=lambda r: r.start)
+        want = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in tokens.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert files > 211 if file_bytes == 64 else files <= 8
+    assert [r.doc_id for r in got] == list(range(600))
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == [want[i] for i in range(600)]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 # ---------------------------------------------------------------- 7: lines
 def brute_lines(rows, least=20, min_docs=3):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
